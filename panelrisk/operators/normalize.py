@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.fixed_values import SIGMA_FLOOR, Z_LIMIT
 from panelrisk.functions.scalars import clip, null_if_nan, zero
-from panelrisk.operators.ordered import join_on, unpivot
+from panelrisk.operators.ordered import join_checked, unpivot
 
 
 def _guarded(x, mu, sd, digits=6):
@@ -21,7 +21,8 @@ def zscores(df: DataFrame, columns, entity="country_std", grain="panel",
     ``grain="panel"`` (one row per entity and period) uses one window for all
     columns. ``grain="rows"`` is for raw event rows, where one entity may hold
     a large part of the table: the statistics come from a map-side combined
-    aggregate and are joined back, so no task sees a whole entity.
+    aggregate and are joined back (broadcast while small, see ``join_checked``),
+    so no task sees a whole entity.
     """
     values = {c: null_if_nan(c) for c in columns}
     if grain == "panel":
@@ -33,7 +34,7 @@ def zscores(df: DataFrame, columns, entity="country_std", grain="panel",
     stats = df.groupBy(entity).agg(*[F.avg(v).alias(f"_mu_{c}") for c, v in values.items()],
                                    *[F.stddev_pop(v).alias(f"_sd_{c}")
                                      for c, v in values.items()])
-    joined = join_on(df, stats, [entity])
+    joined = join_checked(df, stats, [entity])
     return joined.select(*df.columns, *[
         _guarded(values[c], F.col(f"_mu_{c}"), F.col(f"_sd_{c}")).alias(f"{c}{suffix}")
         for c in columns])

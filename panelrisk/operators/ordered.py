@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelrisk.session import pin
 
 SLICE = "_slice"
+BROADCAST_ROWS = 200_000
 
 
 def _match(left, right, by):
@@ -28,42 +29,84 @@ def join_on(left: DataFrame, right: DataFrame, by, how="left") -> DataFrame:
     return left.join(renamed, _match(left, renamed, by), how).drop(*[f"_r_{c}" for c in by])
 
 
-def running_totals(df: DataFrame, order, sums, by=(), slices=None) -> DataFrame:
-    """Add ``<name>_before`` and ``<name>_total`` for each column in ``sums``.
+def _sliced(df, by, order, slices=None):
+    """Range-partition on (by, order), store the slice number, and write the result once.
 
-    ``order`` is a list of columns (optionally descending) that is unique
-    within ``by``; ``_before`` excludes the row itself.
+    Written because the slice bounds are sampled: totals and rows must come from
+    the same cut.
     """
-    by, sums = list(by), list(sums)
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in by] + order
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
-    pinned = pin(ranged.withColumn(SLICE, F.spark_partition_id()))
+    return pin(ranged.withColumn(SLICE, F.spark_partition_id()))
+
 
-    per_slice = pinned.groupBy(*by, SLICE).agg(*[F.sum(c).alias(c) for c in sums])
+def _offsets(per_slice, sums, by):
+    """Totals of the earlier slices (``_off_``), of the slice (``_in_``) and of the group."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
+    return per_slice.select(
         *by, SLICE,
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.col(c).alias(f"_in_{c}") for c in sums],
         *[F.sum(c).over(group).alias(f"{c}_total") for c in sums])
 
+
+def _local_totals(rows, order, sums, by):
     inside = Window.partitionBy(SLICE, *by).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    local = pinned.withColumns(
-        {f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    out = join_on(local, offsets if by else F.broadcast(offsets), [*by, SLICE])
-    return (out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_off_{c}")
-                             for c in sums})
-            .drop(SLICE, *[f"_off_{c}" for c in sums]))
+    return rows.withColumns({f"{c}_before": F.col(f"_off_{c}")
+                             + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}) \
+        .drop(SLICE, *[f"_off_{c}" for c in sums], *[f"_in_{c}" for c in sums])
+
+
+def _columns(order):
+    return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def global_index(df: DataFrame, order, out="row_index", by=(), slices=None) -> DataFrame:
-    """0-based position in a global unique order, plus ``<out>_total`` rows."""
-    numbered = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"],
-                              by, slices)
-    return numbered.withColumnsRenamed({"_one_before": out, "_one_total": f"{out}_total"}) \
-        .drop("_one")
+def running_totals(df: DataFrame, order, sums, by=(), slices=None) -> DataFrame:
+    """Add ``<name>_before`` and ``<name>_total`` for each column in ``sums``.
+
+    ``order`` is a list of columns (optionally descending) that is unique
+    within ``by``; ``_before`` excludes the row itself.
+    """
+    by, sums, order = list(by), list(sums), _columns(order)
+    pinned = _sliced(df, by, order, slices)
+    offsets = _offsets(pinned.groupBy(*by, SLICE).agg(*[F.sum(c).alias(c) for c in sums]),
+                       sums, by)
+    # without a group there is one offset row per slice
+    rows = join_on(pinned, offsets if by else F.broadcast(offsets), [*by, SLICE], "inner")
+    return _local_totals(rows, order, sums, by)
+
+
+def global_index(df: DataFrame, order, out="row_index", slices=None) -> DataFrame:
+    """0-based position in a global unique order, plus ``<out>_total`` rows.
+
+    Range-partitioned and sorted inside each slice, a row's place in its slice
+    is the low part of its generated id, so no further shuffle is needed; the
+    sizes of the earlier slices (one row per slice) are added.
+    """
+    order = _columns(order)
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    numbered = pin(ranged.sortWithinPartitions(*order)
+                   .withColumn("_id", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn(SLICE, F.shiftright("_id", 33))
+    sizes = numbered.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n"))
+    rows = numbered.join(F.broadcast(_offsets(sizes, ["n"], [])), SLICE)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_off_n")
+    return rows.withColumns({out: place, f"{out}_total": F.col("n_total")}) \
+        .drop(SLICE, "_id", "_off_n", "_in_n", "n_total")
+
+
+def join_checked(df: DataFrame, side: DataFrame, by, how="left",
+                 limit=BROADCAST_ROWS) -> DataFrame:
+    """Join a reduced table back onto raw rows without shuffling them, if it is small.
+
+    The side is written once and counted. Up to ``limit`` rows it is broadcast;
+    beyond that both sides are shuffled and skewed keys are split by the engine.
+    """
+    side = pin(side)
+    small = side.limit(limit + 1).count() <= limit
+    return join_on(df, F.broadcast(side) if small else side, by, how)
 
 
 def unpivot(df: DataFrame, columns, by=()) -> DataFrame:
@@ -85,7 +128,15 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), slices=None) -> DataFr
     # -0.0 and 0.0 are one value
     counts = values.groupBy(*keys, (F.col("value") + F.lit(0.0)).alias("value")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = running_totals(counts, ["value"], ["cnt"], keys, slices)
+    pinned = _sliced(counts, keys, [F.col("value")], slices)
+    offsets = _offsets(pinned.groupBy(*keys, SLICE).agg(F.sum("cnt").alias("cnt")), ["cnt"], keys)
+    # only slices that hold a wanted rank are read on
+    ranks = F.array(*[fn((F.col("cnt_total") - 1) * F.lit(float(p)))
+                      for p in probs for fn in (F.floor, F.ceil)])
+    holds = F.exists(ranks, lambda k: (k >= F.col("_off_cnt"))
+                     & (k < F.col("_off_cnt") + F.col("_in_cnt")))
+    rows = join_checked(pinned, offsets.filter(holds), [*keys, SLICE], "inner")
+    ranked = _local_totals(rows, [F.col("value")], ["cnt"], keys)
     first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
     aggs = [F.max("cnt_total").alias("n")]
     for p in probs:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.columns import numeric_features
 from panelrisk.functions.scalars import flag, number, zero
-from panelrisk.operators.ordered import (exact_quantiles, global_index, join_on, quantile_name,
-                                         unpivot)
+from panelrisk.operators.ordered import (exact_quantiles, global_index, join_checked, join_on,
+                                         quantile_name, unpivot)
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -63,7 +63,7 @@ def iqr_outliers(df: DataFrame, columns, k=1.5, by=()) -> DataFrame:
     values = unpivot(df, columns, by).filter(F.col("value").isNotNull())
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     # low and high are constant per key, so grouping on them adds no groups
-    return (join_on(values, fences, keys).groupBy(*keys, "low", "high")
+    return (join_checked(values, fences, keys, "inner").groupBy(*keys, "low", "high")
             .agg(F.count_if(outside).alias("outliers"),
                  (F.avg(flag(outside)) * 100.0).alias("percent")))
 

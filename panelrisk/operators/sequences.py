@@ -91,7 +91,9 @@ def resolve_splits(df: DataFrame, split="split", order=("week_end", "country_std
     is_train, is_val = F.col(split) == "train", F.col(split) == "val"
     is_test = F.col(split) == "test" if seen.t else is_val
     if not seen.v:
-        df = global_index(df, list(order), "_i", by=[split])
+        # val is empty: training rows are numbered on their own, test rows stay aside
+        first = global_index(df.filter(is_train), list(order), "_i")
+        df = first.unionByName(df.filter(~is_train), allowMissingColumns=True)
         late = F.col("_i") >= F.floor(F.col("_i_total") * F.lit(1.0 - val_part))
         is_train, is_val = is_train & ~late, is_train & late
     return df.withColumns({"is_test": is_test, "is_train": is_train, "is_val": is_val}) \

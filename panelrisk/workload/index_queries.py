@@ -134,8 +134,7 @@ def annual_index(spark, sf):
 @query("annual_index_with_food", index_sql(True) + f"""SELECT country_std, year,
  {rs(['Econ', 'WRI'])} FROM wri""")
 def annual_index_with_food(spark, sf):
-    return rounded(full_index(spark, sf, food=True).select("country_std", "year", "Econ", "WRI"),
-                   4)
+    return rounded(full_index(spark, sf, food=True).select("country_std", "year", "Econ", "WRI"))
 
 
 @query("annual_index_events_only", with_cte(EVENTS, UCDP) + f""", p AS (SELECT country_std, year,

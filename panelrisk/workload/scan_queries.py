@@ -94,16 +94,15 @@ def routed_ingest(spark, sf):
     return files.union_extracts(parts)
 
 
-@query("file_routing", """SELECT CASE WHEN lower(n_name) LIKE '%1%' THEN 'qog'
- ELSE lower(n_name) || '_wb_x' END AS file, CASE WHEN lower(n_name) LIKE '%1%' THEN 'qog'
- ELSE 'wb' END AS data_set FROM nation""")
+@query("file_routing", """SELECT doc_id, CASE lang WHEN 'en' THEN 'qog' WHEN 'fr' THEN 'vdem'
+ WHEN 'de' THEN 'gdelt' ELSE source || '_extract' END AS data_set FROM documents""")
 def file_routing(spark, sf):
-    name = F.lower(F.col("n_name"))
-    f = table(spark, sf, "nation").select(
-        F.when(name.contains("1"), F.lit("qog")).otherwise(F.concat(name, F.lit("_wb_x")))
-        .alias("file"))
-    return f.select("file", files.data_set_column(F.concat("file", F.lit(".csv")))
-                    .alias("data_set"))
+    """Each document's source and language make a file name that is then routed."""
+    lang = F.col("lang")
+    word = (F.when(lang == "en", "_QoG.csv").when(lang == "fr", "_V-Dem.csv")
+            .when(lang == "de", "_GDELT.csv").otherwise("_extract.csv"))
+    d = table(spark, sf, "documents", "doc_id", "source", "lang")
+    return d.select("doc_id", files.data_set_column(F.concat("source", word)).alias("data_set"))
 
 
 @query("ingest_validation", with_cte(ANNUAL) + """SELECT COUNT(*) AS rows, 13 AS columns,
@@ -156,12 +155,12 @@ def report_sink(spark, sf):
     return spark.read.json(out).select("name", "summary.rows", "summary.first", "summary.last")
 
 
-@query("standard_names", """SELECT n_name AS country, CAST(1990 + n_nationkey AS INTEGER) AS year
- FROM nation""")
+@query("standard_names", """SELECT o_orderkey AS key,
+ CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""")
 def standard_names(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_name").alias(" Country "),
-                                          (F.lit(1990) + F.col("n_nationkey")).alias("YR"))
-    return cols.standardise_names(n)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias(" Key "),
+                                          F.year("o_orderdate").alias("YR"))
+    return cols.standardise_names(o)
 
 
 @query("profile_slimming", with_cte(EVENTS) + """SELECT CAST(year(event_date) AS INTEGER) AS year,
@@ -176,10 +175,10 @@ def profile_slimming(spark, sf):
     return cols.keep_profile(e)
 
 
-@query("candidate_column", "SELECT n_name AS picked FROM nation")
+@query("candidate_column", "SELECT c_custkey, c_mktsegment AS picked FROM customer")
 def candidate_column(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("NATION"))
-    return n.select(F.col(cols.entity_column(n)).alias("picked"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("NATION"))
+    return c.select("c_custkey", F.col(cols.entity_column(c)).alias("picked"))
 
 
 @query("renamed_columns", """SELECT l_orderkey, l_linenumber, l_quantity AS refugee_outflow
