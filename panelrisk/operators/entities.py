@@ -37,7 +37,7 @@ def region_table(spark: SparkSession) -> DataFrame:
 
 
 def border_table(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(BORDERS, "src string, dst string, dist double"))
+    return F.broadcast(spark.createDataFrame(BORDERS, "src string, dst string, dist int"))
 
 
 def _lookup(df, key, table, value, out):
@@ -125,9 +125,11 @@ def membership_counts(df: DataFrame, entity="country_std", tier="group") -> Data
     """
     def known(c):
         return F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("UNKNOWN"))
-    rolled = (df.select(known(tier).alias("tier"), known(entity).alias("entity"))
-              .rollup("tier", "entity")
-              .agg(F.count(F.lit(1)).alias("rows"), F.grouping_id().alias("level"))
+    # counted per pair first, so that only the counts go through the rollup
+    counts = df.groupBy(known(tier).alias("tier"), known(entity).alias("entity")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    rolled = (counts.rollup("tier", "entity")
+              .agg(F.sum("n").alias("rows"), F.grouping_id().alias("level"))
               .filter(F.col("level") <= 1))
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIER_ORDER)),
                                                 F.col("tier")), F.lit(0)),

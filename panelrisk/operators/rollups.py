@@ -11,8 +11,8 @@ from panelrisk.fixed_values import (CODED_KINDS, DISPLACEMENT_NAMES, EPS, LATITU
                                     LONGITUDE_COLUMNS, NONSTATE_KINDS, ONESIDED_KINDS,
                                     STATE_KINDS)
 from panelrisk.functions.columns import first_present, rename_present
-from panelrisk.functions.scalars import (active_month_of_week, flag, log_count, non_negative,
-                                         number, year_of_text)
+from panelrisk.functions.scalars import (active_month_of_week, day_number, flag, grid_cell,
+                                         log_count, non_negative, number, year_of_text)
 
 NAMED_KINDS = {"state": STATE_KINDS, "nonstate": NONSTATE_KINDS, "onesided": ONESIDED_KINDS}
 
@@ -84,7 +84,7 @@ def weekly_rollup(df: DataFrame, value="fatalities", kind="event_type", entity="
     lon = first_present(df, LONGITUDE_COLUMNS, lon)
     spread = F.lit(0).cast("long")
     if lat and lon:
-        spread = F.count_distinct(F.struct(F.round(lat, 2), F.round(lon, 2)))
+        spread = F.count_distinct(F.struct(grid_cell(lat), grid_cell(lon)))
     return df.groupBy(F.col(entity).alias("country_std"), "year", "week_num", "week_id",
                       known_tier(tier).alias("group")).agg(
         F.count(F.lit(1)).alias("total_events"),
@@ -141,7 +141,7 @@ def weekly_to_years(df: DataFrame, means, entity="country_std", year="year") ->
 def media_daily(df: DataFrame, time, entity, code, stability, tone, mentions, sources,
                 articles) -> DataFrame:
     """Sub-daily media rows to (day, entity, code): mean signal, summed volumes."""
-    return df.groupBy(F.date_format(time, "yyyyMMdd").cast("int").alias("SQLDATE"),
+    return df.groupBy(day_number(time).alias("SQLDATE"),
                       F.col(entity).alias("ActionGeo_CountryCode"),
                       F.col(code).alias("EventCode")).agg(
         F.avg(stability).alias("AvgGoldstein"), F.avg(tone).alias("AvgTone"),

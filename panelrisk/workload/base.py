@@ -25,8 +25,15 @@ def query(name, sql=None):
     return add
 
 
+_SCHEMAS = {}
+
+
 def table(spark: SparkSession, sf, name, *columns) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the files once per path."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -267,8 +274,8 @@ def media(spark, sf) -> DataFrame:
     code = F.lpad((F.col("l_partkey") % 20 + 1).cast("string"), 2, "0")
     return rollups.media_daily(
         s.withColumns({"code": F.concat(code, (F.col("l_linenumber") % 10).cast("string")),
-                       "stab": F.round(F.col("l_discount") * 100 - 5, 2),
-                       "tone": F.round(F.col("l_tax") * 100 - 4, 2),
+                       "stab": F.col("l_discount") * 100 - 5,
+                       "tone": F.col("l_tax") * 100 - 4,
                        "q": F.col("l_quantity").cast("long"),
                        "ln": F.col("l_linenumber").cast("long"), "one": F.lit(1)}),
         "l_shipdate", "country_std", "code", "stab", "tone", "q", "ln", "one")
@@ -278,7 +285,7 @@ MEDIA = SHIPMENTS + """, media AS (SELECT CAST(strftime(l_shipdate, '%Y%m%d') AS
  country_std AS ActionGeo_CountryCode,
  lpad(CAST(l_partkey % 20 + 1 AS VARCHAR), 2, '0') || CAST(l_linenumber % 10 AS VARCHAR)
  AS EventCode,
- AVG(ROUND(l_discount * 100 - 5, 2)) AS AvgGoldstein, AVG(ROUND(l_tax * 100 - 4, 2)) AS AvgTone,
+ AVG(l_discount * 100 - 5) AS AvgGoldstein, AVG(l_tax * 100 - 4) AS AvgTone,
  CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS TotalMentions,
  CAST(SUM(l_linenumber) AS BIGINT) AS TotalSources, COUNT(*) AS TotalArticles
  FROM shipments GROUP BY 1, 2, 3)"""

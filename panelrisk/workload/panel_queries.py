@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions import columns as cols
 from panelrisk.operators import neighbors, normalize, panel, rolling
+from panelrisk.session import pin
 from panelrisk.workload.base import (ANNUAL, COUNTS, EDGES, EVENTS, PLACES, USER_DAYS, WEEKLY,
                                      annual_sources, edges, places, query, r, rounded, rs, table,
                                      user_days, weekly, weekly_counts, with_cte, z_sql, zs_sql)
@@ -16,10 +17,11 @@ GRID = COUNTS + """, cal AS (SELECT DISTINCT week_id, year, week_num FROM counts
 
 
 def _grid(spark, sf):
+    """The rollup is written once: facts, tiers and calendar all read it."""
     keep = ["total_events", "weekly_fatalities", "battle_count"]
     w = weekly_counts(spark, sf).select("country_std", "group", "week_id", "year", "week_num",
                                         *keep)
-    return panel.dense_grid(w)
+    return panel.dense_grid(pin(w))
 
 
 ZERO_GRID = GRID + """, zgrid AS (SELECT country_std, week_id, year, week_num,
@@ -153,7 +155,7 @@ SIGNAL_GRID = USER_DAYS + """, cal AS (SELECT DISTINCT day FROM user_days),
 def _signal_grid(spark, sf):
     d = user_days(spark, sf).select("country_std", "day", "signal",
                                     F.lit("OTHER").alias("group"))
-    return panel.dense_grid(d, period=["day"], order=["day"]).drop("group")
+    return panel.dense_grid(pin(d), period=["day"], order=["day"]).drop("group")
 
 
 _LAST = """last_value(signal IGNORE NULLS) OVER (PARTITION BY country_std ORDER BY day
