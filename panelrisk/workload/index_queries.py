@@ -216,18 +216,18 @@ def feature_panel(spark, sf):
 FEATURES_SQL = index_sql(False, "") + f""", ind AS (SELECT country_std, year, SFI, Econ, Polit,
  idp_count_z, WRI, CASE WHEN WRI > 0.0 THEN 1 ELSE 0 END AS act FROM wri), lab AS (SELECT *,
  lead(act) OVER (PARTITION BY country_std ORDER BY year) AS nxt FROM ind), ctx AS (SELECT l.*,
- CASE WHEN nxt IS NULL THEN NULL WHEN act = 0 AND nxt = 1 THEN 1 ELSE 0 END AS Y, a.v2x_libdem
- FROM lab l LEFT JOIN annual a ON a.country_std = l.country_std AND a.year = l.year),
+ CASE WHEN nxt IS NULL THEN NULL WHEN act = 0 AND nxt = 1 THEN 1 ELSE 0 END AS Y FROM lab l),
  cal AS (SELECT DISTINCT week_id, year, week_num FROM weekly),
  who AS (SELECT country_std, MIN("group") AS "group" FROM weekly GROUP BY 1),
  g0 AS (SELECT w.country_std, c.year, c.week_num, c.week_id, w."group",
  COALESCE(f.weekly_fatalities, 0) AS fat, COALESCE(f.total_events, 0) AS ev,
  COALESCE(f.CII, 0.0) AS CII, z.CII_roll7_z AS z7, z.CII_roll90_z AS z90, f.spillover AS sp,
- x.SFI, x.Econ, x.Polit, x.idp_count_z, x.WRI, x.Y, x.v2x_libdem
+ x.SFI, x.Econ, x.Polit, x.idp_count_z, x.WRI, x.Y, v.v2x_libdem
  FROM who w CROSS JOIN cal c
  LEFT JOIN weekly f ON f.country_std = w.country_std AND f.week_id = c.week_id
  LEFT JOIN wz z ON z.country_std = w.country_std AND z.week_id = c.week_id
- LEFT JOIN ctx x ON x.country_std = w.country_std AND x.year = c.year),
+ LEFT JOIN ctx x ON x.country_std = w.country_std AND x.year = c.year
+ LEFT JOIN annual v ON v.country_std = w.country_std AND v.year = c.year),
  g1 AS (SELECT country_std, year, week_num, week_id, "group", fat, ev, CII, """ + ", ".join(
     f"""COALESCE(last_value({c} IGNORE NULLS) OVER b, 0.0) AS {c}"""
     for c in ("z7", "z90", "sp")) + ", " + ", ".join(
