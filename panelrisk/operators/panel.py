@@ -52,6 +52,13 @@ def replace_columns(df: DataFrame, other: DataFrame, columns,
     return df.drop(*columns).join(one, list(keys), "left")
 
 
+def current_state(rows: DataFrame, states: DataFrame, state="Y", out="y_now",
+                  keys=("country_std", "week_id")) -> DataFrame:
+    """State of the entity in the period of each row; NULL where the panel has none."""
+    known = states.select(*keys, F.col(state).alias(out))
+    return rows.join(keep_first(known, keys, [out]), list(keys), "left")
+
+
 def entity_tiers(df: DataFrame, entity="country_std", tier="group",
                  order=WEEK_ORDER) -> DataFrame:
     """First non-NULL tier of each entity in period order; OTHER if it has none."""

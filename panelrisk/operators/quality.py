@@ -196,6 +196,13 @@ def period_report(df: DataFrame, year, low, high=None) -> DataFrame:
                   F.count_if(y.isNull()).alias("unreadable"))
 
 
+def unreadable(df: DataFrame, columns) -> DataFrame:
+    """Cells that hold text which is no number, per column."""
+    wide = df.agg(*[F.count_if(F.col(c).isNotNull() & number(c).isNull()).alias(c)
+                    for c in columns])
+    return unpivot(wide, columns).select("variable", F.col("value").cast("long").alias("rows"))
+
+
 def preview(df: DataFrame, rows=3, order=None) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(rows)
 

@@ -17,9 +17,14 @@ EVENT_Z = ["total_deaths", "event_count", "deaths_state", "deaths_onesided"]
 VDEM_Z, WB_Z = ["v2x_corr", "v2elintim"], ["GDP_Growth", "Inflation", "Military_Expenditure"]
 
 
-def index_sources(spark, sf, food=False):
+WEEKLY_Z = ["CII_roll7", "CII_roll90", "spillover"]
+
+
+def index_sources(spark, sf, food=False, weekly_z=None):
     """All annual sources in the shape the index expects."""
     a = pin(annual_sources(spark, sf))
+    if weekly_z is None:
+        weekly_z = zscores(weekly(spark, sf), WEEKLY_Z)
     moved = a.select("country_std", "year", F.col("refugees").alias("refugee_outflow"),
                      F.col("idps").alias("idp_count"))
     shock = composite.shock_grade(leader_years(spark, sf), irregular_counts=True)
@@ -31,7 +36,7 @@ def index_sources(spark, sf, food=False):
         "gdelt": zscores(pin(media(spark, sf)).withColumnRenamed("ActionGeo_CountryCode",
                                                             "country_std"),
                          ["AvgTone", "AvgGoldstein"], grain="rows"),
-        "acled": zscores(weekly(spark, sf), ["CII_roll7", "CII_roll90", "spillover"]),
+        "acled": weekly_z,
         "reign": zscores(shock, ["PolitShock", "irregular_change_flag"]),
         "unhcr": zscores(moved, ["refugee_outflow", "idp_count"]),
         "emdat": zscores(a.select("country_std", "year", "disaster_deaths"),
@@ -120,8 +125,8 @@ AUX = ["Z_CII_7d", "Z_CII_90d", "regcluster", "idp_count_z", "disaster_flag_z",
        "disaster_deaths_z"]
 
 
-def full_index(spark, sf, food=False, period=PERIOD):
-    return panels.annual_index(index_sources(spark, sf, food), _regions(spark, sf),
+def full_index(spark, sf, food=False, period=PERIOD, weekly_z=None):
+    return panels.annual_index(index_sources(spark, sf, food, weekly_z), _regions(spark, sf),
                                period=period)
 
 
@@ -203,11 +208,12 @@ def per_capita_intensity(spark, sf):
 
 
 def feature_panel(spark, sf):
+    # the weekly z table and the index are read several times
     w = weekly(spark, sf)
-    z = zscores(w, ["CII_roll7", "CII_roll90", "spillover"])
+    z = pin(zscores(w, WEEKLY_Z))
     a = annual_sources(spark, sf).select("country_std", "year", "v2x_libdem", "v2elintim")
-    index = full_index(spark, sf, period=None).select("country_std", "year", "SFI", "Econ",
-                                                      "Polit", "idp_count_z", "WRI")
+    index = pin(full_index(spark, sf, period=None, weekly_z=z)
+                .select("country_std", "year", "SFI", "Econ", "Polit", "idp_count_z", "WRI"))
     labels = rolling.onset_labels(index, 1, threshold=0.0).select("country_std", "year", "Y")
     annual = index.join(labels, ["country_std", "year"], "left")
     return panels.weekly_feature_panel(w, z, annual, governance=a)
@@ -244,7 +250,7 @@ FEATURES_SQL = index_sql(False, "") + f""", ind AS (SELECT country_std, year, SF
 
 @query("weekly_features", FEATURES_SQL + f"""SELECT country_std, week_id, "group", fat AS
  weekly_fatalities, ev AS total_events, Y, {r('CII', 'F1_CII_pc')}, {r('z90', 'F2_Z_CII')},
- {r('4.0 * v2x_libdem * (1 - v2x_libdem)', 'F4_Anocracy')}, {r('SFI', 'F6_SFI')},
+ {r('COALESCE(4.0 * v2x_libdem * (1 - v2x_libdem), 0)', 'F4_Anocracy')}, {r('SFI', 'F6_SFI')},
  {r('Econ', 'F7_EconStress')}, {r('sp', 'F9_Spillover')}, {r('reg', 'F10_RegCluster')},
  {r('Polit', 'F11_PolitShock')}, {r('idp_count_z', 'F15_ForcedMig')},
  {r('z7', 'Z_CII_7d')}, {r('ma4', 'fatality_4w_ma')}, {r('ma12', 'fatality_12w_ma')},

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelrisk.operators import metrics, models
+from panelrisk.operators import metrics, models, panel
 from panelrisk.workload.base import (AP_SQL, AUC_SQL, EVENTS, SCORES, curve_sql, nation_events,
                                      query, r, rounded, scores, with_cte)
 
@@ -173,4 +173,5 @@ def state_lookup(spark, sf):
     s = scores(spark, sf).select(
         "doc_id", F.concat(F.lit("NATION_"), (F.col("doc_id") % 30).cast("string"))
         .alias("country_std"), (1995 + F.col("doc_id") % 8).cast("int").alias("year"))
-    return s.join(now, ["country_std", "year"], "left").select("doc_id", "country_std", "y_now")
+    return panel.current_state(s, now, "y_now", keys=("country_std", "year")) \
+        .select("doc_id", "country_std", "y_now")

@@ -313,6 +313,15 @@ def log_counts(spark, sf):
     return rounded(op(line, "articles"))
 
 
+@query("log_count_errors", """SELECT 'articles' AS variable,
+ COUNT(*) FILTER (l_linenumber = 2) AS rows FROM lineitem""")
+def log_count_errors(spark, sf):
+    line = table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") == 2, F.lit("?"))
+                                               .otherwise(F.col("l_quantity").cast("string"))
+                                               .alias("articles"))
+    return quality.unreadable(line, ["articles"])
+
+
 @query("target_weeks", """SELECT o_orderkey, strftime(CAST(date_trunc('week', o_orderdate) AS DATE)
  + 91, '%Y-%m-%d') AS target_week_end FROM orders""")
 def target_weeks(spark, sf):
