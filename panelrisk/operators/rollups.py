@@ -12,7 +12,8 @@ from panelrisk.fixed_values import (CODED_KINDS, DISPLACEMENT_NAMES, EPS, LATITU
                                     STATE_KINDS)
 from panelrisk.functions.columns import first_present, rename_present
 from panelrisk.functions.scalars import (active_month_of_week, day_number, flag, grid_cell,
-                                         log_count, non_negative, number, year_of_text)
+                                         log_count, non_negative, number, week_label,
+                                         year_of_text)
 
 NAMED_KINDS = {"state": STATE_KINDS, "nonstate": NONSTATE_KINDS, "onesided": ONESIDED_KINDS}
 
@@ -75,24 +76,25 @@ def annual_named(df: DataFrame, value="fatalities", kind="event_type", **names)
 
 def weekly_rollup(df: DataFrame, value="fatalities", kind="event_type", entity="country_std",
                   tier="group", lat=None, lon=None) -> DataFrame:
-    """Events with year, week_num and week_id to (entity, week): totals, kinds, spread.
+    """Events with year and week_num to (entity, week): totals, kinds, spread.
 
     Spread is the number of distinct coordinate pairs at two decimals, 0 without
-    coordinates.
+    coordinates. The week label is made from the grouped numbers, not per event.
     """
     lat = first_present(df, LATITUDE_COLUMNS, lat)
     lon = first_present(df, LONGITUDE_COLUMNS, lon)
     spread = F.lit(0).cast("long")
     if lat and lon:
         spread = F.count_distinct(F.struct(grid_cell(lat), grid_cell(lon)))
-    return df.groupBy(F.col(entity).alias("country_std"), "year", "week_num", "week_id",
-                      known_tier(tier).alias("group")).agg(
+    out = df.groupBy(F.col(entity).alias("country_std"), "year", "week_num",
+                     known_tier(tier).alias("group")).agg(
         F.count(F.lit(1)).alias("total_events"),
         F.coalesce(F.sum(value), F.lit(0)).alias("weekly_fatalities"),
         F.count_if(_is(kind, STATE_KINDS)).alias("battle_count"),
         F.count_if(_is(kind, ONESIDED_KINDS)).alias("vac_count"),
         F.count_if(_is(kind, NONSTATE_KINDS)).alias("nonstate_count"),
         spread.alias("geographic_spread"))
+    return out.withColumn("week_id", week_label("year", "week_num"))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
