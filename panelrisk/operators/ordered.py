@@ -110,8 +110,9 @@ def join_checked(df: DataFrame, side: DataFrame, by, how="left",
 
 
 def unpivot(df: DataFrame, columns, by=()) -> DataFrame:
-    """(by, variable, value) with the columns as double."""
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    """(by, variable, value) with the columns as double, NaN as NULL."""
+    pairs = ", ".join(f"'{c}', nanvl(cast(`{c}` as double), cast(null as double))"
+                      for c in columns)
     return df.select(*by, F.expr(f"stack({len(columns)}, {pairs})").alias("variable", "value"))
 
 
@@ -124,7 +125,7 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), slices=None) -> DataFr
     """
     by = list(by)
     keys = [*by, "variable"]
-    values = unpivot(df, columns, by).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    values = unpivot(df, columns, by).filter(F.col("value").isNotNull())
     # -0.0 and 0.0 are one value
     counts = values.groupBy(*keys, (F.col("value") + F.lit(0.0)).alias("value")) \
         .agg(F.count(F.lit(1)).alias("cnt"))

@@ -13,6 +13,12 @@ from panelrisk.operators.ordered import (exact_quantiles, global_index, join_che
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
+def _absent(df, c):
+    """NULL, or NaN in a floating column."""
+    floating = dict(df.dtypes)[c] in ("double", "float")
+    return F.col(c).isNull() | F.isnan(c) if floating else F.col(c).isNull()
+
+
 def missing_matrix(df: DataFrame, columns, by="country_std") -> DataFrame:
     """Cells that are NULL or no number, per entity and variable."""
     wide = df.groupBy(by).agg(*[F.sum(flag(number(c).isNull())).alias(c) for c in columns])
@@ -21,9 +27,9 @@ def missing_matrix(df: DataFrame, columns, by="country_std") -> DataFrame:
 
 
 def missing_ranking(df: DataFrame, columns=None, top=20) -> DataFrame:
-    """NULL count and percentage per column, worst first; columns without NULL left out."""
+    """Missing count and percentage per column, worst first; columns without NULL left out."""
     columns = columns or df.columns
-    wide = df.agg(*[F.sum(flag(F.col(c).isNull())).alias(c) for c in columns],
+    wide = df.agg(*[F.count_if(_absent(df, c)).alias(c) for c in columns],
                   F.count(F.lit(1)).alias("_n"))
     out = unpivot(wide, columns, ["_n"]).select(
         F.col("variable"), F.col("value").cast("long").alias("missing"),
@@ -43,7 +49,7 @@ def column_profile(df: DataFrame, columns=None, approximate=False) -> DataFrame:
     columns = columns or df.columns
     types = dict(df.dtypes)
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n_{c}") for c in columns],
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~_absent(df, c)).alias(f"n_{c}") for c in columns],
                   *[distinct(c).alias(f"d_{c}") for c in columns])
     rows = [F.struct(F.lit(c).alias("variable"), F.lit(types[c]).alias("type"),
                      F.round(F.try_divide(F.col(f"n_{c}") * 100.0, F.col("_n")), 2)

@@ -33,6 +33,34 @@ def _ends(df, label, length, stride, horizon, entity, order):
     return {"_on": (rn >= length) & ((rn - length) % stride == 0), "_y": y.cast("long")}
 
 
+def _steps(features, length, entity, order):
+    """Array of the last ``length`` steps, each an array of float features."""
+    step = F.array(*[zero(c).cast("float") for c in features])
+    frame = series(entity, order).rowsBetween(-(length - 1), 0)
+    return F.collect_list(step).over(frame)
+
+
+def _stats(features, length, entity, order):
+    """Last value, mean, and last minus first of each feature, by column name."""
+    w = series(entity, order)
+    frame = w.rowsBetween(-(length - 1), 0)
+    cols = {}
+    for c in features:
+        x = zero(c).cast("float").cast("double")
+        cols[f"{c}__last"] = x
+        cols[f"{c}__mean"] = F.avg(x).over(frame)
+        cols[f"{c}__trend"] = x - F.lag(x, length - 1).over(w)
+    return cols
+
+
+def _cut(df, cols, label, length, stride, horizon, entity, order, end):
+    marks = _ends(df, label, length, stride, horizon, entity, order)
+    marked = df.select(entity, F.col(end).alias("week_end"),
+                       *[c.alias(n) for n, c in {**cols, **marks}.items()])
+    return marked.filter(F.col("_on") & F.col("_y").isNotNull()) \
+        .select(entity, "week_end", *cols, F.col("_y").alias("Y"))
+
+
 def windows(df: DataFrame, features=None, label="Y", length=WINDOW_STEPS, stride=WINDOW_STRIDE,
             horizon=HORIZON, entity="country_std", order=WEEK_ORDER,
             end="week_id") -> DataFrame:
@@ -42,33 +70,22 @@ def windows(df: DataFrame, features=None, label="Y", length=WINDOW_STEPS, stride
     not NULL; without a label column Y is -1. A frame holds ``length`` rows.
     """
     features = features or window_features(df)
-    step = F.array(*[zero(c).cast("float") for c in features])
-    frame = series(entity, order).rowsBetween(-(length - 1), 0)
-    marked = df.select(entity, F.col(end).alias("week_end"),
-                       F.collect_list(step).over(frame).alias("X"),
-                       *[c.alias(n) for n, c in
-                         _ends(df, label, length, stride, horizon, entity, order).items()])
-    return marked.filter(F.col("_on") & F.col("_y").isNotNull()) \
-        .select(entity, "week_end", "X", F.col("_y").alias("Y"))
+    return _cut(df, {"X": _steps(features, length, entity, order)}, label, length, stride,
+                horizon, entity, order, end)
 
 
 def window_stats(df: DataFrame, features=None, label="Y", length=WINDOW_STEPS,
                  stride=WINDOW_STRIDE, horizon=HORIZON, entity="country_std",
-                 order=WEEK_ORDER, end="week_id") -> DataFrame:
-    """Same windows as flat columns: last value, mean, and last minus first per feature."""
+                 order=WEEK_ORDER, end="week_id", steps=False) -> DataFrame:
+    """Same windows as flat columns: last value, mean, and last minus first per feature.
+
+    ``steps=True`` adds the ordered steps ``X`` in the same pass.
+    """
     features = features or window_features(df)
-    w = series(entity, order)
-    frame = w.rowsBetween(-(length - 1), 0)
-    cols = []
-    for c in features:
-        x = zero(c).cast("float").cast("double")
-        cols += [x.alias(f"{c}__last"), F.avg(x).over(frame).alias(f"{c}__mean"),
-                 (x - F.lag(x, length - 1).over(w)).alias(f"{c}__trend")]
-    marked = df.select(entity, F.col(end).alias("week_end"), *cols,
-                       *[c.alias(n) for n, c in
-                         _ends(df, label, length, stride, horizon, entity, order).items()])
-    return marked.filter(F.col("_on") & F.col("_y").isNotNull()) \
-        .withColumnRenamed("_y", "Y").drop("_on")
+    cols = _stats(features, length, entity, order)
+    if steps:
+        cols["X"] = _steps(features, length, entity, order)
+    return _cut(df, cols, label, length, stride, horizon, entity, order, end)
 
 
 def assign_split(df: DataFrame, end="week_end", val=VAL_YEAR, test=TEST_YEAR,
@@ -103,9 +120,7 @@ def resolve_splits(df: DataFrame, split="split", order=("week_end", "country_std
 def look_back(df: DataFrame, features, length=LOOK_BACK, entity="country_std",
               order=("year",), label="Y") -> DataFrame:
     """The last ``length`` steps of each row, padded with zero steps in front."""
-    step = F.array(*[zero(c).cast("float") for c in features])
-    frame = series(entity, order).rowsBetween(-(length - 1), 0)
-    steps = F.collect_list(step).over(frame)
+    steps = _steps(features, length, entity, order)
     zeros = F.array_repeat(F.array(*[F.lit(0.0).cast("float")] * len(features)),
                            F.lit(length) - F.size(steps))
     return df.select(entity, *order, *([label] if label in df.columns else []),

@@ -10,9 +10,7 @@ from panelrisk.session import pin
 def window_table(features: DataFrame, columns=None, label="Y") -> DataFrame:
     """Windows with ordered steps ``X``, flat statistics, label and time split."""
     columns = columns or sequences.window_features(features)
-    flat = sequences.window_stats(features, columns, label)
-    steps = sequences.windows(features, columns, label).select("country_std", "week_end", "X")
-    return sequences.assign_split(flat.join(steps, ["country_std", "week_end"]))
+    return sequences.assign_split(sequences.window_stats(features, columns, label, steps=True))
 
 
 def flat_names(columns):

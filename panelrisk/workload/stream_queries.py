@@ -15,7 +15,8 @@ def _utc(spark):
 def _events(spark, sf):
     _utc(spark)
     schema = table(spark, sf, "events").schema
-    return streams.file_stream(spark, sf, schema, "events.parquet")
+    # a glob takes a single file and a folder of part files alike
+    return streams.file_stream(spark, f"{sf}/events.parquet*", schema)
 
 
 def _timed(spark, sf):
