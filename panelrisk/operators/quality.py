@@ -49,7 +49,8 @@ def column_profile(df: DataFrame, columns=None, approximate=False) -> DataFrame:
     columns = columns or df.columns
     types = dict(df.dtypes)
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~_absent(df, c)).alias(f"n_{c}") for c in columns],
+    wide = df.agg(F.count(F.lit(1)).alias("_n"),
+                  *[F.count_if(~_absent(df, c)).alias(f"n_{c}") for c in columns],
                   *[distinct(c).alias(f"d_{c}") for c in columns])
     rows = [F.struct(F.lit(c).alias("variable"), F.lit(types[c]).alias("type"),
                      F.round(F.try_divide(F.col(f"n_{c}") * 100.0, F.col("_n")), 2)

@@ -75,7 +75,8 @@ ALL_SOURCES = ", ".join([
     f"""gz AS (SELECT ActionGeo_CountryCode AS country_std, SQLDATE // 10000 AS year,
  {z_sql('AvgTone', 'ActionGeo_CountryCode')} AS tone_z,
  {z_sql('AvgGoldstein', 'ActionGeo_CountryCode')} AS gold_z FROM media)""",
-    "ga AS (SELECT country_std, year, AVG(tone_z) AS tone, AVG(gold_z) AS gold FROM gz GROUP BY 1, 2)",
+    """ga AS (SELECT country_std, year, AVG(tone_z) AS tone, AVG(gold_z) AS gold FROM gz
+ GROUP BY 1, 2)""",
     f"wz AS (SELECT *, {zs_sql(['CII_roll7', 'CII_roll90', 'spillover'])} FROM weekly)",
     """wa AS (SELECT country_std, year, "group", AVG(CII_roll7_z) AS z7, AVG(CII_roll90_z) AS z90,
  AVG(spillover_z) AS sp FROM wz GROUP BY 1, 2, 3)""",

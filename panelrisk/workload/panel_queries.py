@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from panelrisk.functions import columns as cols
 from panelrisk.operators import neighbors, normalize, panel, rolling
 from panelrisk.session import pin
-from panelrisk.workload.base import (ANNUAL, COUNTS, EDGES, EVENTS, PLACES, USER_DAYS, WEEKLY,
-                                     annual_sources, edges, places, query, r, rounded, rs, table,
+from panelrisk.workload.base import (ANNUAL, COUNTS, EVENTS, PLACES, USER_DAYS, WEEKLY,
+                                     annual_sources, edges, places, query, r, rounded, table,
                                      user_days, weekly, weekly_counts, with_cte, z_sql, zs_sql)
 
 GRID = COUNTS + """, cal AS (SELECT DISTINCT week_id, year, week_num FROM counts),

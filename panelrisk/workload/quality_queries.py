@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.operators import normalize, quality
 from panelrisk.workload.base import (EVENTS, SHIPMENTS, USERS, WEEKLY, nation_events, query, r,
-                                     rounded, rs, shipments, table, user_events, weekly,
+                                     rounded, shipments, table, user_events, weekly,
                                      with_cte, zs_sql)
 
 GAPPY = """gappy AS (SELECT l_orderkey, l_linenumber, l_returnflag,

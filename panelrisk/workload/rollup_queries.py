@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelrisk.operators import composite, quality, rolling, rollups
 from panelrisk.operators.normalize import zscores
 from panelrisk.plans import panels
-from panelrisk.workload.base import (ANNUAL, CHANGES, COUNTS, EVENTS, LEADERS, SHIPMENTS, USERS,
+from panelrisk.workload.base import (ANNUAL, CHANGES, COUNTS, EVENTS, SHIPMENTS, USERS,
                                      USER_DAYS, WEEKLY, WEEKLY_COUNTS, WEEKLY_FLOATS,
                                      annual_sources, leaders, nation_events, query, r, rounded,
                                      rs, shipments, user_days, user_events, weekly,

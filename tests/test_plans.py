@@ -1,5 +1,7 @@
 """What the plans must look like, and results under a hot key."""
 
+import bisect
+
 from conftest import plan_of
 from pyspark.sql import functions as F
 
@@ -63,7 +65,6 @@ def test_hot_score_and_hot_key_in_ranking(spark):
     for g in got:
         pos = sorted(p for k, p, y in data if k == g and y)
         neg = [p for k, p, y in data if k == g and not y]
-        import bisect
         wins = sum(len(pos) - (bisect.bisect_left(pos, n) + bisect.bisect_right(pos, n)) / 2
                    for n in neg)
         assert abs(got[g] - wins / len(pos) / len(neg)) < 1e-9
