@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelrisk.llm import token_counts
+from panelrisk.llm import line_dedup, simhash_groups, token_counts
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -20,3 +20,16 @@ def register(fn):
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op2_line_dedup"] = line_dedup.ORACLE
+
+
+@register
+def op7_simhash_groups(spark, sf_dir):
+    return simhash_groups.simhash_groups(table(spark, sf_dir, "documents"))
