@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelrisk.llm import line_dedup, simhash_groups, token_counts
+from panelrisk.llm import line_dedup, quality_rules, simhash_groups, token_counts
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -33,3 +33,9 @@ ORACLES["op2_line_dedup"] = line_dedup.ORACLE
 @register
 def op7_simhash_groups(spark, sf_dir):
     return simhash_groups.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.score_quality(docs, table(spark, sf_dir, "labels")).drop("text")
