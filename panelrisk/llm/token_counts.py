@@ -63,7 +63,7 @@ def frequent_words(docs: DataFrame, size=TABLE_SIZE, rows=SAMPLE_ROWS, chars=SAM
     """
     sample = texts(docs).select(F.substring("text", 1, chars).alias("text")).limit(rows)
     seen = Counter()
-    for row in sample.toLocalIterator():
+    for row in sample.collect():
         seen.update(row.text.split(" "))
     return [w for w, _ in seen.most_common(size) if w and MARK not in w and len(w) <= CACHED_CHARS]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelrisk.llm import line_dedup, quality_rules, simhash_groups, token_counts
+from panelrisk.llm import line_dedup, quality_rules, simhash_groups, suffix_dedup, token_counts
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def op7_simhash_groups(spark, sf_dir):
 def op6_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.score_quality(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@register
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
