@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from panelrisk.llm import line_dedup, quality_rules, simhash_groups, suffix_dedup, token_counts
+from panelrisk.llm import (byte_bpe, line_dedup, packing, quality_rules, simhash_groups,
+                           suffix_dedup, token_counts)
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -44,3 +45,16 @@ def op6_quality_rules(spark, sf_dir):
 @register
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+@register
+def op8_byte_bpe(spark, sf_dir):
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return byte_bpe.digest(byte_bpe.decode(ids, ranks, pattern))
+
+
+@register
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.packed_digest(table(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("byte_bpe_50k.json"))
