@@ -34,8 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import shuffle_width, slices, texts
-from panelrisk.operators.ordered import global_index
+from panelrisk.llm.tables import shuffle_width, slices, unique_ids
 
 #: Bytes that an anchor's hash covers; windows of ``span`` bytes choose among span - K + 1 anchors.
 K = 32
@@ -515,26 +514,6 @@ def _apply(batches):
              ("n_spans", pa.int64()), ("kept", pa.binary())]))
 
 
-_NO_ID = -(1 << 63)
-
-
-def _numbered(docs: DataFrame):
-    """(doc_id, text) with unique ids, and the way back from the id to the given doc_id."""
-    base = texts(docs).select(F.col("doc_id").cast("long").alias("given"),
-                              F.col("text").cast("binary").alias("text"))
-    filled = F.coalesce("given", F.lit(_NO_ID).cast("long"))
-    twice = base.groupBy(filled.alias("id")).count().filter("count > 1")
-    if twice.isEmpty():
-        one = base.select(filled.alias("doc_id"), "text")
-        return one, lambda df: df.withColumn(
-            "doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
-    rows = global_index(base, ["given", "text"], "doc_id").drop("doc_id_total")
-    names = rows.select(F.col("doc_id").alias("_id"), "given")
-    return rows.select("doc_id", "text"), lambda df: df.join(
-        names, df["doc_id"] == names["_id"]).withColumn("doc_id", F.col("given")) \
-        .drop("_id", "given")
-
-
 def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
                  local_hot: int = LOCAL_HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` holds the remaining bytes.
@@ -547,7 +526,8 @@ def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
     """
     if not K < span <= 127:
         raise ValueError("span must be above 32 and at most 127")
-    base, named = _numbered(docs)
+    base, named = unique_ids(docs)
+    base = base.withColumn("text", F.col("text").cast("binary"))
     spans = repeated_spans(base, span, parts, local_hot)
     cut = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelrisk.operators.ordered import global_index
+
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -36,3 +38,26 @@ def slices(lengths, limit):
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+_NO_ID = -(1 << 63)
+
+
+def unique_ids(docs: DataFrame):
+    """(doc_id, text) with ids that are unique and not NULL, and the way back to the given ones.
+
+    Usually the given ids serve, with a stand-in for one that is missing. Where ids repeat
+    (a small job looks while the plan is built), rows are numbered by doc_id and text, so
+    that rows sharing an id are ordered by their texts and a repeated row is a later copy.
+    """
+    base = texts(docs).select(F.col("doc_id").cast("long").alias("given"), "text")
+    filled = F.coalesce("given", F.lit(_NO_ID).cast("long"))
+    twice = base.groupBy(filled.alias("id")).count().filter("count > 1")
+    if twice.isEmpty():
+        return base.select(filled.alias("doc_id"), "text"), lambda df: df.withColumn(
+            "doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
+    rows = global_index(base, ["given", "text"], "doc_id").drop("doc_id_total")
+    names = rows.select(F.col("doc_id").alias("_id"), "given")
+    return rows.select("doc_id", "text"), lambda df: df.join(
+        names, df["doc_id"] == names["_id"]).withColumn("doc_id", F.col("given")) \
+        .drop("_id", "given")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from panelrisk.llm import (byte_bpe, chat_format, line_dedup, packing, quality_rules,
-                           simhash_groups, suffix_dedup, token_counts)
+                           simhash_groups, spot_signatures, suffix_dedup, token_counts)
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -68,3 +68,9 @@ def op10_chat_format(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.digest(chat_format.format_chats(
         given.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@register
+def op5_spot_signatures(spark, sf_dir):
+    return spot_signatures.digest(
+        spot_signatures.spot_fingerprints(table(spark, sf_dir, "documents")))
