@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from panelrisk.llm import (byte_bpe, chat_format, line_dedup, packing, quality_rules,
-                           simhash_groups, spot_signatures, suffix_dedup, token_counts)
+                           simhash_groups, spot_signatures, suffix_dedup,
+                           token_counts, toxicity)
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -74,3 +75,9 @@ def op10_chat_format(spark, sf_dir):
 def op5_spot_signatures(spark, sf_dir):
     return spot_signatures.digest(
         spot_signatures.spot_fingerprints(table(spark, sf_dir, "documents")))
+
+
+@register
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
