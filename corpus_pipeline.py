@@ -1,19 +1,54 @@
-"""Corpus pipeline over ``documents``: stages of the training-text operators in order.
+"""Corpus pipeline over ``documents``: from raw texts to packed token sequences.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next one's documents.
+again as the next one's documents. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from panelrisk.llm import line_dedup, packing, quality_rules, simhash_groups, suffix_dedup
+from panelrisk.llm.tables import table
 from panelrisk.session import scratch
 
-STAGES: list = []
+
+def quality(spark, docs, sf_dir):
+    """Documents that pass the quality rules; the trusted target comes from ``labels``."""
+    return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark, docs, sf_dir):
+    """Lines found in many documents stay in one of them."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies."""
+    return simhash_groups.one_of_each(docs)
+
+
+def passages(spark, docs, sf_dir):
+    """Passages of 100 bytes and more stay where they stand first."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def sequences(spark, docs, sf_dir):
+    """Token pieces with their places in sequences of 1024 tokens."""
+    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(parts.withColumn("ids_crc32", F.crc32("ids")))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies),
+          ("passages", passages), ("sequences", sequences)]
+
+#: Near copies, suffix runs and tokens cannot be told in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)

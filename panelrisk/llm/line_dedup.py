@@ -85,6 +85,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         .drop("_text", "_lines", "_drop", "_d", "_h")
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with the kept lines as ``text``, all other columns as they are; n_chars anew."""
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast("long")
+    return dedup_lines(docs, min_chars, min_docs).withColumns(new).select(*docs.columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped",
                          F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -140,3 +140,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     return paired.withColumn("llr", F.when(m > 0, total / m).otherwise(F.lit(0.0))) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)) \
         .drop("_text", "_t", "_p", "_r")
+
+
+def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The row number keeps the optimizer from moving the filter below the measures, where
+    it would have to compute each of them anew for every use.
+    """
+    judged = score_quality(docs, labels, **options) \
+        .withColumn("_n", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_n") >= 0)).select(*docs.columns)

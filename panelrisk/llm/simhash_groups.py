@@ -243,3 +243,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, k: int = 4,
     of_fp = named.select("fp", "root").join(first, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their group, all columns as they are.
+
+    Rows that repeat both doc_id and text are one document and leave one row; rows
+    without a doc_id are groups of their own and stay.
+    """
+    twice = docs.groupBy("doc_id").count().filter("count > 1")
+    if not twice.isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    groups = simhash_groups(docs.filter("doc_id IS NOT NULL"), shingle, k)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi")
+    return known.unionByName(docs.filter("doc_id IS NULL"))

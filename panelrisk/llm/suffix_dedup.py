@@ -534,6 +534,28 @@ def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
     return named(cut)
 
 
+def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
+    """``docs`` with the repeated bytes gone from ``text``, all other columns as they are.
+
+    A character that loses some of its bytes goes whole; n_chars, if there, is counted
+    anew. doc_id must be unique and not NULL here: the other columns are joined by it.
+    """
+    def whole_characters(batches):
+        for batch in batches:
+            text = [v.as_buffer().to_pybytes().decode("utf-8", "ignore")
+                    for v in batch.column("kept")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())],
+                                             ["_d", "_kept"])
+
+    kept = suffix_dedup(docs, span).select("doc_id", "kept").mapInArrow(
+        whole_characters, "_d long, _kept string")
+    joined = docs.drop("text", "_d", "_kept").join(kept, F.col("doc_id") == F.col("_d"))
+    new = {"text": F.col("_kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("_kept").cast("long")
+    return joined.withColumns(new).select(*docs.columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans",
                          F.sha2("kept", 256).alias("kept_sha256"))

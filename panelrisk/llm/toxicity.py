@@ -26,8 +26,8 @@ from panelrisk.llm.tables import texts
 ROWS_PER_CLASS = 8_000
 MAX_FEATURES = 4_000
 #: A feature must be seen in so many sampled documents and differ by so many standard errors.
-MIN_DOCS, MIN_Z = 5, 4.0
-RIDGE, COUNTERFACTUAL = 2e-3, 1.0
+MIN_DOCS, MIN_Z = 5, 3.0
+RIDGE, COUNTERFACTUAL = 3e-4, 1.0
 
 #: Names of groups, by kind; a name is swapped for the others of its row.
 IDENTITY_TERMS = (
