@@ -23,7 +23,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,6 @@ from panelrisk.llm.tables import shuffle_width, texts
 from panelrisk.session import pin
 
 BITS = 64
-_WHITE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingle hashes turned into bits at a time; bounds memory for very long texts.
 _BLOCK = 1 << 16
@@ -127,6 +125,21 @@ def _groups_in_key(fps: np.ndarray, k: int):
     return np.concatenate(links[0::2]), np.concatenate(links[1::2])
 
 
+def _links_batch(fps, bounds, k):
+    """Links of consecutive groups, given by their bounds, as an Arrow batch."""
+    size = np.diff(bounds)
+    first = bounds[:-1][size == 2]
+    a, b = fps[first], fps[first + 1]
+    near = _popcount(a ^ b) <= k
+    members, roots = [a[near]], [b[near]]
+    for i in np.flatnonzero(size > 2):
+        m, r = _groups_in_key(fps[bounds[i]:bounds[i + 1]], k)
+        members.append(m)
+        roots.append(r)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(x).view(np.int64)) for x in (members, roots)], ["fp", "to"])
+
+
 def _ball(free_bits, radius):
     """All values with at most ``radius`` of the free bits set."""
     out = [0]
@@ -150,12 +163,27 @@ def near_links(distinct: DataFrame, k: int = 4, hot_key: int = 4096) -> DataFram
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     shared = pin(keyed.join(sizes, ["t", "key"]))
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _groups_in_key(pdf["fp"].to_numpy().view(np.uint64), k)
-        return pd.DataFrame({"fp": a.view(np.int64), "to": b.view(np.int64)})
-
-    small = shared.filter(F.col("n") <= hot_key).groupBy("t", "key") \
-        .applyInPandas(within, "fp long, to long")
+    def within(batches):
+        carried = None
+        for batch in batches:
+            at = pa.Table.from_batches([batch])
+            at = at if carried is None else pa.concat_tables([carried, at])
+            t, key = at.column("t").to_numpy(), at.column("key").to_numpy()
+            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            if not len(cuts):
+                carried = at
+                continue
+            carried = at.slice(int(cuts[-1]))
+            yield _links_batch(at.column("fp").to_numpy().view(np.uint64)[:cuts[-1]],
+                               np.concatenate(([0], cuts)), k)
+        if carried is not None and len(carried):
+            fps = carried.column("fp").to_numpy().view(np.uint64)
+            yield _links_batch(fps, np.array([0, len(fps)]), k)
+
+    # groups of at most hot_key rows, next to each other; many are pairs, so no call per group
+    small = shared.filter(F.col("n") <= hot_key).select("t", "key", "fp") \
+        .repartition(shuffle_width(spark), "t", "key").sortWithinPartitions("t", "key") \
+        .mapInArrow(within, "fp long, to long")
 
     reach, far = k // 2, k - k // 2
     free = [[b for b in range(BITS) if not m >> b & 1] for m in choices]
