@@ -1,5 +1,7 @@
 """Decisions taken on ``df.columns`` while the plan is built (no job is run)."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,10 +67,23 @@ def numeric_features(df: DataFrame, exclude=NOT_A_FEATURE):
 
 def time_axis(df: DataFrame):
     """(order column, steps ahead for labels): weekly panels look 13 steps ahead, annual 1."""
-    for name, steps in (("week_end", HORIZON), ("date", HORIZON), ("year", 1)):
+    for name, steps in (("week_end", HORIZON), ("date", HORIZON), ("week_id", HORIZON), ("year", 1)):
         if name in df.columns:
             return name, steps
-    raise KeyError("no week_end, date or year column")
+    raise KeyError("no week_end, date, week_id or year column")
+
+
+def drop_null_keys(df: DataFrame, keys) -> DataFrame:
+    """Rows whose key columns are all there."""
+    return df.dropna(subset=list(keys))
+
+
+def null_key_counts(df: DataFrame, keys) -> DataFrame:
+    """One row: all rows, rows that ``drop_null_keys`` leaves out, and NULLs per key."""
+    missing = [F.col(k).isNull() for k in keys]
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.count_if(reduce(lambda a, b: a | b, missing)).alias("dropped"),
+                  *[F.count_if(m).alias(f"null_{k}") for k, m in zip(keys, missing)])
 
 
 def with_year(df: DataFrame) -> DataFrame:

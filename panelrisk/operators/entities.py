@@ -8,16 +8,16 @@ known here, and the engine broadcasts it only when its statistics allow.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.fixed_values import (BORDERS, CORE_ENTITIES, REGIONS, REPAIR_ALIASES,
-                                    TIER_ORDER, alias_rows, code_rows)
+from panelrisk.fixed_values import (ALIASES, BORDERS, CORE_ENTITIES, REGIONS, REPAIR_ALIASES,
+                                    TIER_ORDER, code_rows)
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(alias_rows(), "alias string, canonical string"))
+    return F.broadcast(spark.createDataFrame(ALIASES, "alias string, canonical string"))
 
 
 def repair_table(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(alias_rows(REPAIR_ALIASES),
+    return F.broadcast(spark.createDataFrame(REPAIR_ALIASES,
                                              "alias string, canonical string"))
 
 
@@ -111,7 +111,7 @@ def repair(df: DataFrame, entity="country_std", tier="group", aliases=None, tier
     return tiered.withColumn(tier, F.coalesce("_tier", old, F.lit("OTHER"))).drop("_tier")
 
 
-def repair_report(repaired: DataFrame, before, entity="country_std", top=20) -> DataFrame:
+def repair_report(repaired: DataFrame, before, top, entity="country_std") -> DataFrame:
     """Changed (before, after) pairs with row counts, first ``top`` in name order."""
     changed = repaired.filter(~F.col(before).eqNullSafe(F.col(entity)))
     return (changed.groupBy(F.col(before).alias("before"), F.col(entity).alias("after"))
@@ -137,7 +137,7 @@ def membership_counts(df: DataFrame, entity="country_std", tier="group") -> Data
     return rolled.select("tier", "entity", "rows", rank.cast("int").alias("tier_rank"))
 
 
-def unresolved(df: DataFrame, name, tier="group", label="UNKNOWN", top=15) -> DataFrame:
+def unresolved(df: DataFrame, name, top, tier="group", label="UNKNOWN") -> DataFrame:
     """Most frequent unresolved raw values with their share of all rows."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     bad = df.filter((F.col(tier) == label) & (F.trim(F.col(name)) != ""))
@@ -147,8 +147,9 @@ def unresolved(df: DataFrame, name, tier="group", label="UNKNOWN", top=15) -> Da
 
 
 def entity_events(df: DataFrame, entity_name, entity="country_std", columns=None, order=None,
-                  top=100) -> DataFrame:
-    """Rows of one entity, projected, in an explicit order, first ``top``."""
+                  top=None) -> DataFrame:
+    """Rows of one entity, projected, in an explicit order; all of them, or the first ``top``."""
     picked = df.filter(F.col(entity) == entity_name)
     picked = picked.select(*columns) if columns else picked
-    return picked.orderBy(*order).limit(top) if order else picked
+    picked = picked.orderBy(*order) if order else picked
+    return picked if top is None else picked.limit(top)

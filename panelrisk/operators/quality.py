@@ -26,7 +26,7 @@ def missing_matrix(df: DataFrame, columns, by="country_std") -> DataFrame:
         .withColumnRenamed("value", "missing")
 
 
-def missing_ranking(df: DataFrame, columns=None, top=20) -> DataFrame:
+def missing_ranking(df: DataFrame, top, columns=None) -> DataFrame:
     """Missing count and percentage per column, worst first; columns without NULL left out."""
     columns = columns or df.columns
     wide = df.agg(*[F.count_if(_absent(df, c)).alias(c) for c in columns],
@@ -104,7 +104,7 @@ def mad_outliers(df: DataFrame, column, threshold=3.0) -> DataFrame:
                       F.when(usable, count * 100.0 / F.col("n")).alias("percent"))
 
 
-def mad_outlier_rows(df: DataFrame, column, order, threshold=3.0, top=5) -> DataFrame:
+def mad_outlier_rows(df: DataFrame, column, order, top, threshold=3.0) -> DataFrame:
     """The first outlier rows in an explicit order, with their modified z-score."""
     scored = _with_score(df, column, mad_limits(df, column))
     return scored.filter(F.col("score") > threshold).orderBy(*order).limit(top)

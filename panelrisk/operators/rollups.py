@@ -51,7 +51,8 @@ def annual_rollup(df: DataFrame, value, kind, kinds, entity="country_std", year=
                   tier="group", month=None) -> DataFrame:
     """Events to (year, entity, tier): counts, totals, per-kind sums and counts, active months.
 
-    A NULL tier is OTHER before grouping, so an entity-year has one OTHER row.
+    One row per entity-year whatever the tiers of its events: the smallest counts, NULL
+    being OTHER.
     """
     aggs = [F.count(F.lit(1)).alias("event_count"),
             F.coalesce(F.sum(value), F.lit(0)).alias("total_deaths")]
@@ -62,8 +63,8 @@ def annual_rollup(df: DataFrame, value, kind, kinds, entity="country_std", year=
     month = month_expression(df) if month is None else month
     aggs.append((distinct_months(month) if month is not None else F.lit(None).cast("long"))
                 .alias("active_months"))
-    return df.groupBy(F.col(year).alias("year"), F.col(entity).alias("country_std"),
-                      known_tier(tier).alias("group")).agg(*aggs)
+    return df.groupBy(F.col(year).alias("year"), F.col(entity).alias("country_std")) \
+        .agg(F.min(known_tier(tier)).alias("group"), *aggs)
 
 
 def annual_coded(df: DataFrame, value="best", kind="type_of_violence", **names) -> DataFrame:
@@ -79,15 +80,16 @@ def weekly_rollup(df: DataFrame, value="fatalities", kind="event_type", entity="
     """Events with year and week_num to (entity, week): totals, kinds, spread.
 
     Spread is the number of distinct coordinate pairs at two decimals, 0 without
-    coordinates. The week label is made from the grouped numbers, not per event.
+    coordinates. One row per entity-week whatever the tiers of its events: the smallest
+    counts, NULL being OTHER. The week label is made from the grouped numbers, not per event.
     """
     lat = first_present(df, LATITUDE_COLUMNS, lat)
     lon = first_present(df, LONGITUDE_COLUMNS, lon)
     spread = F.lit(0).cast("long")
     if lat and lon:
         spread = F.count_distinct(F.struct(grid_cell(lat), grid_cell(lon)))
-    out = df.groupBy(F.col(entity).alias("country_std"), "year", "week_num",
-                     known_tier(tier).alias("group")).agg(
+    out = df.groupBy(F.col(entity).alias("country_std"), "year", "week_num").agg(
+        F.min(known_tier(tier)).alias("group"),
         F.count(F.lit(1)).alias("total_events"),
         F.coalesce(F.sum(value), F.lit(0)).alias("weekly_fatalities"),
         F.count_if(_is(kind, STATE_KINDS)).alias("battle_count"),
@@ -142,8 +144,12 @@ def weekly_to_years(df: DataFrame, means, entity="country_std", year="year") ->
 
 def media_daily(df: DataFrame, time, entity, code, stability, tone, mentions, sources,
                 articles) -> DataFrame:
-    """Sub-daily media rows to (day, entity, code): mean signal, summed volumes."""
-    return df.groupBy(day_number(time).alias("SQLDATE"),
+    """Sub-daily media rows to (day, entity, code): mean signal, summed volumes.
+
+    Rows without a readable day or an entity are left out.
+    """
+    known = day_number(time).isNotNull() & F.col(entity).isNotNull()
+    return df.filter(known).groupBy(day_number(time).alias("SQLDATE"),
                       F.col(entity).alias("ActionGeo_CountryCode"),
                       F.col(code).alias("EventCode")).agg(
         F.avg(stability).alias("AvgGoldstein"), F.avg(tone).alias("AvgTone"),

@@ -3,34 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.fixed_values import (INDEX_WEIGHTS, NORMALISED_COLUMNS, PERIOD, ROLL_LONG,
-                                    ROLL_SHORT)
-from panelrisk.functions.columns import numeric_features, with_week, with_year
+from panelrisk.fixed_values import (CONTEXT, COUNTS, F_COLUMNS, IDS, INDEX_WEIGHTS, LABELS,
+                                    NORMALISED_COLUMNS, POPULATION, ROLL_LONG, ROLL_SHORT,
+                                    SERIES, SIGNALS, WEEKLY_RAW)
+from panelrisk.functions.columns import drop_null_keys, numeric_features, with_week, with_year
 from panelrisk.operators import composite, neighbors, panel, rolling, rollups
 from panelrisk.operators.normalize import ensure_z, zscores
 from panelrisk.session import pin
 
-CONTEXT = ["SFI", "Econ", "Spill", "Polit", "idp_count_z", "disaster_flag_z",
-           "disaster_deaths_z", "WRI", "theta_c", "v2x_libdem", "v2elintim", "v2x_corr",
-           "GDP_Growth", "Inflation", "Military_Expenditure"]
-LABELS = ["Y", "is_war_year", "annual_deaths"]
-COUNTS = ["total_events", "weekly_fatalities", "battle_count", "vac_count", "nonstate_count",
-          "battle_ratio", "civilian_targeting_ratio", "geographic_spread", "CII",
-          "CII_roll7", "CII_roll90"]
-SIGNALS = ["Z_CII_7d", "Z_CII_90d", "ESC", "spillover", "regcluster"]
-POPULATION = ["sp_pop_totl", "population", "pop"]
-IDS = ["country_std", "year", "week_num", "week_id", "group"]
-F_COLUMNS = ["F1_CII_pc", "F2_Z_CII", "F3_ESC", "F4_Anocracy", "F6_SFI", "F7_EconStress",
-             "F9_Spillover", "F10_RegCluster", "F11_PolitShock", "F15_ForcedMig"]
-WEEKLY_RAW = ["weekly_fatalities", "total_events", "battle_ratio",
-              "civilian_targeting_ratio", "geographic_spread", "CII", "Z_CII_7d"]
-SERIES = ["fatality_4w_ma", "fatality_12w_ma", "fatality_trend", "event_count_lag4",
-          "event_count_lag8", "conflict_accel"]
-
 
 def annual_panel(events: DataFrame, **names) -> DataFrame:
-    """Event table to the annual panel; coded or named kinds told apart by the columns."""
-    events = with_year(events)
+    """Event table to the annual panel; coded or named kinds told apart by the columns.
+
+    Events without an entity or a year are left out (``null_key_counts`` tells how many).
+    """
+    events = drop_null_keys(with_year(events), [names.get("entity", "country_std"), "year"])
     cols = {c.lower() for c in events.columns}
     if {"best", "type_of_violence"} <= cols:
         return rollups.annual_coded(events, **names)
@@ -40,9 +27,13 @@ def annual_panel(events: DataFrame, **names) -> DataFrame:
 
 
 def weekly_panel(events: DataFrame, edges=None, time=None, **names) -> DataFrame:
-    """Event table to the weekly panel with ratios, rolling means and neighbour spill-over."""
+    """Event table to the weekly panel with ratios, rolling means and neighbour spill-over.
+
+    Events without an entity or a readable week are left out (``null_key_counts`` tells how many).
+    """
     # written once: the events are then scanned once, though the panel is read twice below
-    weekly = pin(rollups.weekly_rollup(with_week(events, time), **names))
+    keys = [names.get("entity", "country_std"), "year", "week_num"]
+    weekly = pin(rollups.weekly_rollup(drop_null_keys(with_week(events, time), keys), **names))
     weekly = rollups.with_ratios(weekly)
     weekly = weekly.withColumn("CII", F.col("weekly_fatalities").cast("double"))
     weekly = rolling.rolling_means(weekly, {"CII_roll7": ("CII", ROLL_SHORT),
@@ -57,13 +48,13 @@ def normalised(df: DataFrame, data_set=None, columns=None, **kw) -> DataFrame:
     return zscores(df, columns, **kw)
 
 
-def annual_index(sources: dict, regions=None, weights=INDEX_WEIGHTS, period=PERIOD,
+def annual_index(sources: dict, regions=None, weights=INDEX_WEIGHTS, *, period,
                  guard=True) -> DataFrame:
     """Weighted risk index per (entity, year).
 
     ``sources`` maps ucdp (required), qog, vdem, wb, gdelt, acled, reign, unhcr,
     fao and emdat to normalised DataFrames; missing ones are left out and the
-    formulas adapt.
+    formulas adapt. ``period`` is the (first, last) year to return, or None for all.
     """
     spine = sources.get("ucdp")
     if spine is None:

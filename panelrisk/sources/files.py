@@ -1,12 +1,13 @@
 """Readers and writers: tolerant CSV, Parquet, reports, unions and ingest."""
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelrisk.fixed_values import EXPECTED_COLUMNS, FILE_KEYWORDS
+from panelrisk.fixed_values import EXPECTED_COLUMNS, FILE_KEYWORDS, SOURCE_SCHEMAS
 from panelrisk.functions.columns import first_present
 
 REJECT = "_reject"
@@ -32,30 +33,94 @@ def write_report(df: DataFrame, path):
     df.write.mode("overwrite").json(path)
 
 
-def scan_csv(spark: SparkSession, path, schema: T.StructType = None,
-             header=True) -> DataFrame:
-    """Tolerant CSV scan.
-
-    Short rows are padded with NULL and kept. Rows with too many cells and rows
-    with a cell that does not fit the column type carry the cause in
-    ``_reject``. Without a schema the types are inferred from the header file.
+def header_of(spark: SparkSession, path) -> list:
+    """Column names in the first line of a CSV file."""
+    line = spark.read.text(path).first()
+    if line is None:
+        return []
+    return [c.strip() for c in next(csv.reader([line[0].lstrip("\ufeff")]), [])]
+
+
+def _csv_files(spark, path):
+    """The CSV files behind a path: itself, or what lies in the folder."""
+    found = [r.path for r in list_files(spark, path, "*").select("path").collect()
+             if not os.path.basename(r.path).startswith(("_", "."))]
+    return sorted(found) or [path]
+
+
+def _text_cells(spark, paths, names, header, multi_line):
+    """All cells as text under the given names, ``_extra`` for one too many, ``_open`` for an
+    open quote. Lines are read as text, so that a quote that is not closed shows."""
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_extra"]])
+    if multi_line:
+        raw = spark.read.option("header", header).option("multiLine", True).option("escape", '"') \
+            .option("mode", "PERMISSIVE").schema(cells).csv(paths)
+        return raw.withColumn("_open", F.lit(False))
+    lines = spark.read.text(paths).filter(F.length(F.trim("value")) > 0)
+    if header:
+        first = spark.read.text(paths[0]).first()[0]
+        lines = lines.filter(F.col("value") != F.lit(first))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    ddl = ", ".join(f"`{f.name}` string" for f in cells)
+    parsed = lines.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE", "escape": '"'}).alias("c"),
+                          (quotes % 2 == 1).alias("_open"))
+    return parsed.select("c.*", "_open")
+
+
+def scan_csv(spark: SparkSession, path, schema: T.StructType = None, header=True,
+             multi_line=False) -> DataFrame:
+    """Tolerant CSV scan of a file or folder; cells are bound by the header's names.
+
+    Files of a folder may have their columns in different orders; a wanted column that a
+    file lacks is NULL, columns that are not wanted are left out. Without a header the
+    schema's order holds. Short rows are padded with NULL and kept. Rows with too many
+    cells, an open quote or a cell that does not fit the column's type carry the cause in
+    ``_reject``. Line breaks inside quotes need ``multi_line``, which reads each file
+    whole in one task. Without a schema the types are inferred by one more pass; a column
+    that is text in any file is text.
     """
-    reader = spark.read.option("header", header)
+    paths = _csv_files(spark, path)
     if schema is None:
-        schema = reader.option("inferSchema", True).csv(path).schema
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    text = text.add("_extra", T.StringType())
-    raw = reader.option("mode", "PERMISSIVE").schema(text).csv(path)
-    cause = F.when(F.col("_extra").isNotNull(), F.lit("too many cells"))
-    typed = []
-    for f in schema:
-        cell = F.col(f.name)
-        if not isinstance(f.dataType, T.StringType):
-            value = cell.try_cast(f.dataType)
-            cause = cause.when(cell.isNotNull() & value.isNull(), F.lit(f"bad {f.name}"))
-            cell = value
-        typed.append(cell.alias(f.name))
-    return raw.select(*typed, cause.alias(REJECT))
+        schema = infer_schema(spark, paths, header)
+    groups = {}
+    for p in paths:
+        names = tuple(header_of(spark, p)) if header else tuple(f.name for f in schema)
+        groups.setdefault(names, []).append(p)
+    parts = []
+    for names, own in groups.items():
+        raw = _text_cells(spark, own, names, header, multi_line)
+        cause = F.when(F.col("_open"), F.lit("open quote")) \
+            .when(F.col("_extra").isNotNull(), F.lit("too many cells"))
+        typed = []
+        for f in schema:
+            if f.name not in names:
+                typed.append(F.lit(None).cast(f.dataType).alias(f.name))
+                continue
+            cell = F.col(f"`{f.name}`")
+            if not isinstance(f.dataType, T.StringType):
+                value = F.trim(cell).try_cast(f.dataType)
+                cause = cause.when(cell.isNotNull() & value.isNull(), F.lit(f"bad {f.name}"))
+                cell = value
+            typed.append(cell.alias(f.name))
+        parts.append(raw.select(*typed, cause.alias(REJECT)))
+    return union_extracts(parts)
+
+
+def infer_schema(spark: SparkSession, paths, header=True) -> T.StructType:
+    """Columns of all files by name, in order of appearance, with a type that fits each file."""
+    order = [T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()]
+    found = {}
+    for p in paths:
+        for f in spark.read.option("header", header).option("inferSchema", True).csv(p).schema:
+            name, kind = f.name.strip().lstrip("\ufeff"), f.dataType
+            old = found.get(name)
+            if old is None or old == kind:
+                found[name] = kind
+            elif old in order and kind in order:
+                found[name] = order[max(order.index(old), order.index(kind))]
+            else:
+                found[name] = T.StringType()
+    return T.StructType([T.StructField(k, v) for k, v in found.items()])
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -92,18 +157,34 @@ def list_files(spark: SparkSession, folder, pattern) -> DataFrame:
                     F.col("length").alias("bytes")))
 
 
-def ingest(spark: SparkSession, csv_paths, out_dir, schemas=None) -> dict:
+def _schema_of(spark, paths, known=None) -> T.StructType:
+    """Columns that the headers name, with the known types; inferred only where one is unknown."""
+    kinds = {f.name: f for f in known or []}
+    names = list(dict.fromkeys(c for p in paths for c in header_of(spark, p)))
+    if any(c not in kinds for c in names):
+        kinds = {**{f.name: f for f in infer_schema(spark, paths)}, **kinds}
+    return T.StructType([kinds[c] for c in names])
+
+
+def ingest(spark: SparkSession, csv_paths, out_dir, schemas=SOURCE_SCHEMAS,
+           multi_line=False) -> dict:
     """CSV extracts to one Parquet data set per routed name; returns name -> path.
 
-    Files routed to the same data set are united, with absent columns as NULL.
+    Files routed to the same data set are united by column name, absent ones NULL. Columns
+    of known sources have fixed types and need no inference; for others the types are
+    inferred over all files of the data set, so a cell that differs in one file makes its
+    column text. Rejected rows are left out; ``scan_csv`` and ``rejected_counts`` tell which.
     """
     by_name = {}
     for p in csv_paths:
         by_name.setdefault(data_set_name(p), []).append(p)
     out = {}
     for name, paths in by_name.items():
-        schema = (schemas or {}).get(name)
-        df = union_extracts([accepted(scan_csv(spark, p, schema)) for p in paths])
+        known = (schemas or {}).get(name)
+        known = T.StructType.fromDDL(known) if isinstance(known, str) else known
+        schema = _schema_of(spark, [f for p in paths for f in _csv_files(spark, p)], known)
+        df = union_extracts([accepted(scan_csv(spark, p, schema, multi_line=multi_line))
+                             for p in paths])
         out[name] = f"{out_dir}/{name}.parquet"
         write_parquet(df, out[name])
     return out

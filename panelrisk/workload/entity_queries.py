@@ -85,7 +85,7 @@ def canonical_repair(spark, sf):
  {_pick_sql([n[0] for n in STORED])} AS b, {_pick_sql([n[2] for n in STORED])} AS a
  FROM customer) WHERE a IS DISTINCT FROM b GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 20""")
 def repair_report(spark, sf):
-    return entities.repair_report(_repaired(spark, sf), "before")
+    return entities.repair_report(_repaired(spark, sf), "before", top=20)
 
 
 @query("membership_counts", with_cte(USERS) + """, m AS (SELECT
@@ -102,4 +102,4 @@ def membership_counts(spark, sf):
  FROM (SELECT {_pick_sql([n[0] for n in NAMES])} AS raw FROM customer)
  WHERE trim(raw) = 'x' GROUP BY 1""")
 def unresolved_values(spark, sf):
-    return rounded(entities.unresolved(_capitalised(spark, sf), "raw"))
+    return rounded(entities.unresolved(_capitalised(spark, sf), "raw", top=15))

@@ -32,7 +32,7 @@ def missing_matrix(spark, sf):
  2)::DOUBLE AS percent FROM (SELECT 'a' AS variable, COUNT(*) - COUNT(a) AS missing,
  COUNT(*) AS n FROM gappy UNION ALL SELECT 'b', COUNT(*) - COUNT(b), COUNT(*) FROM gappy)""")
 def missing_ranking(spark, sf):
-    return quality.missing_ranking(_gappy(spark, sf))
+    return quality.missing_ranking(_gappy(spark, sf), top=20)
 
 
 @query("constant_imputation", with_cte(GAPPY) + """SELECT l_orderkey, l_linenumber,
@@ -92,7 +92,7 @@ def mad_outliers(spark, sf):
  {r('away / mad', 'score')} FROM d CROSS JOIN s WHERE away / mad > 3 ORDER BY event_id LIMIT 5""")
 def mad_outlier_rows(spark, sf):
     e = table(spark, sf, "events", "event_id", "value")
-    return rounded(quality.mad_outlier_rows(e, "value", ["event_id"]))
+    return rounded(quality.mad_outlier_rows(e, "value", ["event_id"], top=5))
 
 
 @query("histogram_fixed_range", f"""SELECT b.bin, {r('-10.0 + b.bin + 0.5', 'center')},
@@ -245,4 +245,4 @@ def capped_sample(spark, sf):
  WHERE abs(fatalities - m) / s > 1 ORDER BY event_key LIMIT 100""")
 def first_outliers(spark, sf):
     e = nation_events(spark, sf).select("event_key", "fatalities")
-    return rounded(quality.mad_outlier_rows(e, "fatalities", ["event_key"], 1.0, 100))
+    return rounded(quality.mad_outlier_rows(e, "fatalities", ["event_key"], top=100, threshold=1.0))

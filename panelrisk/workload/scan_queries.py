@@ -94,6 +94,56 @@ def routed_ingest(spark, sf):
     return files.union_extracts(parts)
 
 
+def _two_extracts(spark, sf):
+    """customer as two files: other column order, a column missing, a text cell in a number
+    column, and a quoted line break."""
+    base, c = scratch(spark, "extracts"), table(spark, sf, "customer")
+    cells = {n: F.col(n).cast("string") for n in ("c_custkey", "c_nationkey", "c_acctbal")}
+    segment = F.when(F.col("c_custkey") % 10 == 6, F.concat(F.lit('"'), F.col("c_mktsegment"),
+                                                            F.lit('\nend"'))) \
+        .otherwise(F.col("c_mktsegment"))
+    balance = F.when(F.col("c_custkey") % 10 == 5, F.lit("n/a")).otherwise(cells["c_acctbal"])
+    even, odd = c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 2 = 1")
+    for name, df, head, line in (
+            ("even", even, "c_mktsegment,c_custkey,c_nationkey",
+             F.concat_ws(",", segment, cells["c_custkey"], cells["c_nationkey"])),
+            ("odd", odd, "c_custkey,c_acctbal,c_mktsegment,c_nationkey",
+             F.concat_ws(",", cells["c_custkey"], balance, segment, cells["c_nationkey"]))):
+        lines = df.select(line.alias("value"), F.lit(1).alias("o")).unionByName(
+            spark.createDataFrame([(head, 0)], "value string, o int"))
+        lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{base}/{name}")
+    return [f"{base}/even", f"{base}/odd"]
+
+
+def _read_extracts(spark, sf, multi_line):
+    return files.union_extracts([files.scan_csv(spark, p, CUSTOMER_CSV, multi_line=multi_line)
+                                 for p in _two_extracts(spark, sf)])
+
+
+EXTRACT_ROWS = """SELECT c_custkey, c_nationkey,
+ CASE WHEN c_custkey % 2 = 1 THEN c_acctbal::DOUBLE END AS c_acctbal,
+ CASE WHEN c_custkey % 10 = 6 THEN c_mktsegment || chr(10) || 'end' ELSE c_mktsegment END
+ AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 5"""
+
+
+@query("csv_by_header", EXTRACT_ROWS + " AND c_custkey % 10 <> 6")
+def csv_by_header(spark, sf):
+    return files.accepted(_read_extracts(spark, sf, False))
+
+
+@query("csv_by_header_multi_line", EXTRACT_ROWS)
+def csv_by_header_multi_line(spark, sf):
+    return files.accepted(_read_extracts(spark, sf, True))
+
+
+@query("csv_reject_causes", """SELECT cause AS outcome, COUNT(*) AS rows FROM (SELECT
+ unnest(CASE WHEN c_custkey % 10 = 6 THEN ['open quote', 'open quote']
+ WHEN c_custkey % 10 = 5 THEN ['bad c_acctbal'] ELSE ['accepted'] END) AS cause
+ FROM customer) GROUP BY 1""")
+def csv_reject_causes(spark, sf):
+    return files.rejected_counts(_read_extracts(spark, sf, False))
+
+
 @query("file_routing", """SELECT doc_id, CASE lang WHEN 'en' THEN 'qog' WHEN 'fr' THEN 'vdem'
  WHEN 'de' THEN 'gdelt' ELSE source || '_extract' END AS data_set FROM documents""")
 def file_routing(spark, sf):

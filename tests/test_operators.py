@@ -170,7 +170,7 @@ def test_repair_report_counts_nulls_as_equal(spark):
     df = spark.createDataFrame([(None, None), ("Swaziland", "B"), ("Swaziland", "B")],
                                "country_std string, group string")
     fixed = entities.repair(df, before="b")
-    rep = entities.repair_report(fixed, "b").collect()
+    rep = entities.repair_report(fixed, "b", top=20).collect()
     assert [(r.before, r.after, r.rows) for r in rep] == [("Swaziland", "Eswatini", 2)]
     assert {r.group for r in fixed.collect()} == {"B", "OTHER"}
 
@@ -237,17 +237,17 @@ def test_index_adapts_to_sources(spark):
     u = spark.createDataFrame([("a", 2013, "A", 5, 1.0), ("a", 2014, "A", 10, -1.0)],
                               "country_std string, year int, group string, total_deaths int, "
                               "total_deaths_z double")
-    r = panels.annual_index({"ucdp": u}).orderBy("year").first()
+    r = panels.annual_index({"ucdp": u}, period=(2013, 2024)).orderBy("year").first()
     assert r.CII == 0.5 and r.Econ == 0.0 and r.Spill == 0.0
     w = spark.createDataFrame([("a", 2013, 2.0, -1.0)],
                               "country_std string, year int, GDP_Growth_z double, "
                               "Inflation_z double")
-    assert panels.annual_index({"ucdp": u, "wb": w}).orderBy("year").first().Econ == -1.6
+    assert panels.annual_index({"ucdp": u, "wb": w}, period=(2013, 2024)).orderBy("year").first().Econ == -1.6
     f = w.select("country_std", "year", F.lit(4.0).alias("FoodShock_z"))
-    assert panels.annual_index({"ucdp": u, "wb": w, "fao": f}).orderBy("year").first().Econ \
+    assert panels.annual_index({"ucdp": u, "wb": w, "fao": f}, period=(2013, 2024)).orderBy("year").first().Econ \
         == pytest.approx(-0.8 - 0.25 + 1.0)
     with pytest.raises(ValueError):
-        panels.annual_index({})
+        panels.annual_index({}, period=(2013, 2024))
 
 
 def test_static_attribute_does_not_fan_out(spark):

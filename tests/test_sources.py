@@ -36,6 +36,28 @@ def test_ingest_routes_unites_and_validates(spark, tmp_path):
     assert files.conversion_stats(spark, str(tmp_path), got["vdem"]).first().rows == 2
 
 
+def test_cells_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("country_std,x,year\nb,2.5,2001\n")
+    (tmp_path / "in" / "b.csv").write_text('year,other\n2002,"multi\nline"\n2003,z\n')
+    schema = T.StructType.fromDDL("year int, country_std string, x double")
+    df = files.scan_csv(spark, str(tmp_path / "in"), schema)
+    assert sorted(map(tuple, files.accepted(df).collect())) == [(2001, "b", 2.5), (2003, None, None)]
+    assert df.filter("_reject = 'open quote'").count() == 2
+
+
+def test_one_odd_cell_does_not_stop_an_ingest(spark, tmp_path):
+    (tmp_path / "thing_1.csv").write_text("k,v\n1,1\n")
+    (tmp_path / "thing_1b.csv").write_text("v,k\nn/a,2\n")
+    got = files.ingest(spark, [str(tmp_path / "thing_1.csv")], str(tmp_path / "o1"))
+    assert spark.read.parquet(got["thing_1"]).dtypes == [("k", "int"), ("v", "int")]
+    (tmp_path / "vdem_a.csv").write_text("year,x\n2000,1\n")
+    (tmp_path / "vdem_b.csv").write_text("x,year\nn/a,2001\n")
+    got = files.ingest(spark, [str(tmp_path / f"vdem_{c}.csv") for c in "ab"], str(tmp_path / "o2"))
+    assert sorted(map(tuple, spark.read.parquet(got["vdem"]).select("year", "x").collect())) \
+        == [(2000, "1"), (2001, "n/a")]
+
+
 def test_registry(spark, sf):
     s = Sources(spark, sf, ["orders", "nope"], required=["orders"])
     assert list(s.present()) == ["orders"] and s["nope"] is None
