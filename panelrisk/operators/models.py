@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,12 @@ def standardise(df: DataFrame, mean, sigma, array_column="X", out="Z") -> DataFr
     return df.withColumn(out, F.flatten(F.transform(array_column, step)))
 
 
-def class_weights(df: DataFrame, label="Y", out="weight") -> DataFrame:
-    """Positives weigh negatives / positives, negatives 1 (each count at least 1)."""
-    n = df.agg(F.greatest(F.lit(1), F.count_if(F.col(label) == 1)).alias("p"),
+def class_weights(df: DataFrame, label="Y", out="weight", counted=None) -> DataFrame:
+    """Positives weigh negatives / positives, negatives 1 (each count at least 1).
+
+    The counts are those of the rows where ``counted`` holds (all rows by default).
+    """
+    n = (df if counted is None else df.filter(counted)).agg(F.greatest(F.lit(1), F.count_if(F.col(label) == 1)).alias("p"),
                F.greatest(F.lit(1), F.count_if(F.col(label) == 0)).alias("q"))
     ratio = n.select((F.col("q") / F.col("p")).alias("r")).scalar()
     return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
@@ -46,29 +49,55 @@ def _positive(column):
     return vector_to_array(F.col(column))[1]
 
 
+def stopped_at(losses, patience=30) -> int:
+    """Number of trees at the lowest loss before ``patience`` trees in a row brought no better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_trees(df: DataFrame, features, label="Y", validation=None, iterations=300,
-              weight="weight") -> PipelineModel:
-    """Boosted trees of depth 4, step 0.05, row share 0.8; stops early on validation rows."""
+              weight="weight", entity="country_std", patience=30) -> PipelineModel:
+    """Boosted trees of depth 4, step 0.05, row and column share 0.8, on features and entity.
+
+    With ``validation`` (a boolean column) the trees are fitted on the other rows; the
+    number of trees is where the validation loss stops falling for ``patience`` trees.
+    With one class only in validation all trees are kept.
+    """
     gbt = GBTClassifier(featuresCol="_flat", labelCol=label, weightCol=weight, maxDepth=4,
-                        stepSize=0.05, subsamplingRate=0.8, maxIter=iterations, seed=SEED,
-                        predictionCol="_pred")
+                        stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+                        maxIter=iterations, seed=SEED, predictionCol="_pred", cacheNodeIds=True)
     gbt = gbt.setProbabilityCol("_prob").setRawPredictionCol("_raw")
+    front = Pipeline(stages=[
+        StringIndexer(inputCol=entity, outputCol="_index", handleInvalid="keep"),
+        # a plain number: as a category it would need as many bins as there are entities
+        SQLTransformer(statement="SELECT *, _index + 0.0D AS _who FROM __THIS__"),
+        VectorAssembler(inputCols=[*features, "_who"], outputCol="_flat")]).fit(df)
+    ready = front.transform(df)
+    fitted = gbt.fit(ready.filter(~F.col(validation)) if validation else ready)
     if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_flat"),
-                            gbt]).fit(df)
+        held = ready.filter(F.col(validation))
+        if held.select(label).distinct().count() == 2:
+            trees = stopped_at(fitted.evaluateEachIteration(held), patience)
+            if trees < iterations:
+                fitted = gbt.copy({gbt.maxIter: trees}).fit(ready.filter(~F.col(validation)))
+    return PipelineModel(stages=[*front.stages, fitted])
 
 
 def fit_linear(df: DataFrame, label="Y", steps="Z", entity="country_std",
-               entity_slots=1024, weight="weight", iterations=50) -> PipelineModel:
+               weight="weight", iterations=50) -> PipelineModel:
     """Weighted logistic regression on the standardised ordered window plus the entity.
 
-    The entity is hashed to a fixed number of indicator slots, so the model size
-    does not grow with the number of entities.
+    Each entity has an indicator of its own (sparse); entities not seen in training share one.
     """
     df = df.withColumn("_seq", array_to_vector(F.col(steps)))
     return Pipeline(stages=[
-        FeatureHasher(inputCols=[entity], outputCol="_who", numFeatures=entity_slots),
+        StringIndexer(inputCol=entity, outputCol="_index", handleInvalid="keep"),
+        OneHotEncoder(inputCol="_index", outputCol="_who", handleInvalid="keep"),
         VectorAssembler(inputCols=["_seq", "_who"], outputCol="_in"),
         LogisticRegression(featuresCol="_in", labelCol=label, weightCol=weight,
                            maxIter=iterations, regParam=0.01, probabilityCol="_prob",

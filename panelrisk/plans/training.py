@@ -28,7 +28,7 @@ def train(table: DataFrame, columns, folder=None, iterations=300):
         raise ValueError("unlabelled windows cannot be trained on")
     table = pin(sequences.resolve_splits(table))
     flat = flat_names(columns)
-    rows = models.class_weights(table.filter("is_train or is_val"))
+    rows = models.class_weights(table.filter("is_train or is_val"), counted="is_train")
     trees = models.fit_trees(rows, flat, validation="is_val", iterations=iterations)
 
     stats = models.standardiser(table.filter("is_train"), "X", len(columns)).first()
@@ -77,13 +77,14 @@ def evaluate_saved(spark, folder, table, split="all", start=None, end=None, floo
     """
     cut = None
     if floor is not None:
-        val = models.predict_saved(spark, folder, table, "val")
+        val = pin(models.predict_saved(spark, folder, table, "val"))
         best = metrics.best_at_precision(
             metrics.ranking_curve(val, "y_true", "p_conflict"), floor).first()
         if not best["n_candidates"]:
             raise ValueError(f"no validation threshold reaches precision {floor}")
         cut = best["threshold"]
-    rows = models.predict_saved(spark, folder, table, split, start, end, cut)
+    # read by every metric below, so scored once
+    rows = pin(models.predict_saved(spark, folder, table, split, start, end, cut))
     overall = metrics.evaluate(rows, "y_true", "p_conflict", F.col("threshold"))
     each = metrics.evaluate(rows, "y_true", "p_conflict", F.col("threshold"), ["country_std"],
                             min_rows=2)

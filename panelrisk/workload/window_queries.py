@@ -94,19 +94,19 @@ def split_fallback(spark, sf):
                                               "is_test")
 
 
-@query("look_back_windows", with_cte(COUNTS) + """, y AS (SELECT country_std, year,
- CAST(SUM(weekly_fatalities) AS DOUBLE) AS f FROM counts GROUP BY 1, 2),
- l AS (SELECT *, list(f) OVER (PARTITION BY country_std ORDER BY year
- ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fs FROM y)
- SELECT country_std, year, 5 AS steps, CASE WHEN len(fs) < 5 THEN 0.0 ELSE fs[1] END AS first_f,
- fs[len(fs)] AS last_f FROM l""")
+@query("look_back_windows", with_cte(COUNTS) + """, y AS (SELECT country_std,
+ year, week_num, CAST(SUM(weekly_fatalities) AS DOUBLE) AS f FROM counts GROUP BY ALL),
+ l AS (SELECT *, list(f) OVER (PARTITION BY country_std ORDER BY year, week_num
+ ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS fs FROM y)
+ SELECT country_std, year, week_num, 90 AS steps, CASE WHEN len(fs) < 90 THEN 0.0 ELSE fs[1] END
+ AS first_f, fs[len(fs)] AS last_f FROM l""")
 def look_back_windows(spark, sf):
-    y = rollups.sum_by(weekly_counts(spark, sf), ["country_std", "year"], "weekly_fatalities",
-                       "f")
-    w = sequences.look_back(y, ["f"], length=5)
-    return w.select("country_std", "year", F.size("X").alias("steps"),
+    y = rollups.sum_by(weekly_counts(spark, sf), ["country_std", "year", "week_num"],
+                       "weekly_fatalities", "f")
+    w = sequences.look_back(y, ["f"], order=["year", "week_num"])
+    return w.select("country_std", "year", "week_num", F.size("X").alias("steps"),
                     F.col("X")[0][0].cast("double").alias("first_f"),
-                    F.col("X")[4][0].cast("double").alias("last_f"))
+                    F.col("X")[89][0].cast("double").alias("last_f"))
 
 
 BLOCKS = """SELECT o_orderkey, CAST(COALESCE(least(4, i // NULLIF(t // 4, 0)), 4) AS INTEGER)
@@ -151,12 +151,12 @@ def _table(spark, sf):
 
 def _weighted(spark, sf):
     t = sequences.resolve_splits(_table(spark, sf))
-    return models.class_weights(t.filter("is_train or is_val"))
+    return models.class_weights(t.filter("is_train or is_val"), counted="is_train")
 
 
 @query("class_weights", with_cte(SPLIT) + f"""SELECT country_std, week_end, Y, CASE WHEN Y = 1
  THEN {r('''(SELECT greatest(1, COUNT(*) FILTER (Y = 0)) / greatest(1, COUNT(*) FILTER (Y = 1))
- FROM sp WHERE split <> 'test')''', 'x').rsplit(' AS ', 1)[0]} ELSE 1.0 END::DOUBLE AS weight
+ FROM sp WHERE split = 'train')''', 'x').rsplit(' AS ', 1)[0]} ELSE 1.0 END::DOUBLE AS weight
  FROM sp WHERE split <> 'test'""")
 def class_weights(spark, sf):
     return rounded(_weighted(spark, sf).select("country_std", "week_end", "Y", "weight"))

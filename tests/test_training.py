@@ -53,6 +53,27 @@ def test_saved_scores_equal_trained_scores(spark, trained, table):
     assert overall.first().n == len(b) and each.count() == 12
 
 
+def test_patience_looks_past_a_bump():
+    assert models.stopped_at([5, 4, 3, 3.5, 2, 2.5, 2.6, 2.7], patience=3) == 5
+    assert models.stopped_at([5, 4, 4.1, 4.2, 4.3, 1], patience=3) == 2
+    assert models.stopped_at([3, 2, 1]) == 3
+
+
+def test_trees_are_many_and_no_worse_than_all(spark, table):
+    rows = models.class_weights(sequences.resolve_splits(table).filter("is_train or is_val"),
+                                counted="is_train")
+    few = models.fit_trees(rows, training.flat_names(["f"]), validation="is_val", iterations=25)
+    assert few.stages[-1].getNumTrees > 8
+    one = rows.filter("not is_val or Y = 1")
+    assert models.fit_trees(one, training.flat_names(["f"]), validation="is_val",
+                            iterations=6).stages[-1].getNumTrees == 6
+
+
+def test_weights_count_training_rows_only(spark):
+    df = spark.createDataFrame([(1, True), (0, True), (0, True), (0, False)], "Y int, t boolean")
+    assert {r.weight for r in models.class_weights(df, counted="t").filter("Y = 1").collect()} == {2.0}
+
+
 def test_precision_floor(spark, trained, table):
     rows, _, _ = training.evaluate_saved(spark, trained[0], table, "val", floor=0.5)
     assert rows.count() > 0
