@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_owned: list = []
+
+
+@contextmanager
+def owned_pins(spark: SparkSession):
+    """Delete on leaving what was pinned inside; results must be written or read out by then.
+
+        with owned_pins(spark):
+            panels.annual_index(...).write.parquet(target)
+    """
+    mine: list = []
+    _owned.append(mine)
+    try:
+        yield mine
+    finally:
+        _owned.remove(mine)
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in mine:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it back.
 
@@ -52,5 +76,7 @@ def pin(df: DataFrame) -> DataFrame:
     checkpoint the written table is compressed and can be read by column.
     """
     path = scratch(df.sparkSession, "pin")
+    if _owned:
+        _owned[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,7 +16,8 @@ from panelrisk.operators.entities import assign_tier, canonicalise
 from panelrisk.session import scratch
 
 
-def file_stream(spark: SparkSession, folder, schema, pattern="*.parquet", files_per_batch=None):
+def file_stream(spark: SparkSession, folder, schema, pattern="*.parquet", files_per_batch=200):
+    """Files as they arrive, at most ``files_per_batch`` in a micro-batch (None: no bound)."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -25,15 +25,9 @@ def query(name, sql=None):
     return add
 
 
-_SCHEMAS = {}
-
-
 def table(spark: SparkSession, sf, name, *columns) -> DataFrame:
-    """A given table; its schema is read from the files once per path."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A given table, or the named columns of it."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 

@@ -75,3 +75,15 @@ def test_join_checked_same_result_on_both_ways(spark):
     assert sorted(small.collect()) == sorted(large.collect())
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert {r.v for r in small.collect()} == {0, 10, 20, 30, None}
+
+
+def test_owned_pins_are_deleted(spark):
+    from pathlib import Path
+
+    from panelrisk.session import owned_pins, pin
+
+    with owned_pins(spark) as paths:
+        assert pin(spark.range(5)).count() == 5
+        folder = Path(paths[0].removeprefix("file:"))
+        assert folder.exists()
+    assert not folder.exists()
