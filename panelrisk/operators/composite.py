@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelrisk.fixed_values import INDEX_WEIGHTS, PERIOD
 from panelrisk.functions.columns import col_or_default
 from panelrisk.functions.scalars import anocracy, safe_div, zero
-from panelrisk.operators.normalize import is_live
+from panelrisk.operators.normalize import live_flags
 from panelrisk.operators.rolling import escalation
 
 
@@ -130,19 +130,23 @@ def per_million(value, population):
                                / F.lit(1e6)), F.lit(0.0))
 
 
-def weekly_features(df: DataFrame, population=None) -> DataFrame:
-    """The ten weekly F columns; a source column that is absent or all zero uses its fallback."""
-    has = set(df.columns)
+FALLBACK_COLUMNS = ["Polit", "idp_count_z"]
+
+
+def weekly_features(df: DataFrame, population=None, flags=None) -> DataFrame:
+    """The ten weekly F columns; a source column that is absent or all zero uses its fallback.
 
-    def any_known(c):
-        return df.agg(F.max(F.col(c).isNotNull()).alias("known")).scalar()
+    ``flags`` may bring what ``live_flags`` says of FALLBACK_COLUMNS and the population.
+    """
+    has = set(df.columns)
+    flags = flags or live_flags(df, FALLBACK_COLUMNS, [population])
 
     def live(c, fallback):
-        return F.when(is_live(df, c), F.col(c)).otherwise(fallback) if c in has else fallback
+        return F.when(flags[c], F.col(c)).otherwise(fallback) if c in has else fallback
 
     raw = F.col("CII").cast("double")
     per_head = raw if population not in has else F.when(
-        any_known(population), per_million(raw, F.col(population))).otherwise(raw)
+        flags[population], per_million(raw, F.col(population))).otherwise(raw)
     violence = zero("v2elintim") if "v2elintim" in has else F.lit(0.0)
     return df.withColumns({
         "F1_CII_pc": per_head,

@@ -46,8 +46,27 @@ def is_live(df: DataFrame, column):
                   .alias("live")).scalar() == 1
 
 
-def ensure_z(df: DataFrame, source, out, entity="country_std") -> DataFrame:
-    """``out`` if it is present and not all zero, else the sample z-score of ``source``."""
+def live_flags(df: DataFrame, columns, known=()) -> dict:
+    """Whether each column holds any non-zero value, and for ``known`` any value at all.
+
+    All flags come from one aggregate of one row; column -> Column. Absent columns are left out.
+    """
+    live = [c for c in columns if c in df.columns]
+    known = [c for c in known if c in df.columns]
+    if not live and not known:
+        return {}
+    one = df.agg(F.struct(
+        *[F.coalesce(F.max(zero(c) != 0), F.lit(False)).alias(c) for c in live],
+        *[F.coalesce(F.max(F.col(c).isNotNull()), F.lit(False)).alias(c) for c in known])
+        .alias("flags")).scalar()
+    return {c: one[c] for c in [*live, *known]}
+
+
+def ensure_z(df: DataFrame, source, out, entity="country_std", live=None) -> DataFrame:
+    """``out`` if it is present and not all zero, else the sample z-score of ``source``.
+
+    ``live`` may bring the answer of ``live_flags``.
+    """
     w = Window.partitionBy(entity)
     x = null_if_nan(source)
     sd = F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0))
@@ -55,7 +74,7 @@ def ensure_z(df: DataFrame, source, out, entity="country_std") -> DataFrame:
         clip((x - F.avg(x).over(w)) / sd, -Z_LIMIT, Z_LIMIT))
     if out not in df.columns:
         return df.withColumn(out, z)
-    return df.withColumn(out, F.when(is_live(df, out), F.col(out)).otherwise(z))
+    return df.withColumn(out, F.when(is_live(df, out) if live is None else live, F.col(out)).otherwise(z))
 
 
 def health_check(df: DataFrame, z_columns, entity="country_std") -> DataFrame:

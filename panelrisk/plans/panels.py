@@ -8,7 +8,7 @@ from panelrisk.fixed_values import (CONTEXT, COUNTS, F_COLUMNS, IDS, INDEX_WEIGH
                                     SERIES, SIGNALS, WEEKLY_RAW)
 from panelrisk.functions.columns import drop_null_keys, numeric_features, with_week, with_year
 from panelrisk.operators import composite, neighbors, panel, rolling, rollups
-from panelrisk.operators.normalize import ensure_z, zscores
+from panelrisk.operators.normalize import ensure_z, live_flags, zscores
 from panelrisk.session import pin
 
 
@@ -42,7 +42,13 @@ def weekly_panel(events: DataFrame, edges=None, time=None, **names) -> DataFrame
 
 
 def normalised(df: DataFrame, data_set=None, columns=None, **kw) -> DataFrame:
-    """Append z columns: those listed for the data set, else all numeric ones."""
+    """Append z columns: those listed for the data set, else all numeric ones.
+
+    The daily media set has many rows per entity and period, so its statistics are
+    aggregated and joined back instead of being held in one window per entity.
+    """
+    if data_set == "gdelt":
+        kw.setdefault("grain", "rows")
     listed = columns or NORMALISED_COLUMNS.get(data_set)
     columns = [c for c in listed if c in df.columns] if listed else numeric_features(df)
     return zscores(df, columns, **kw)
@@ -122,11 +128,12 @@ def weekly_feature_panel(weekly: DataFrame, weekly_z=None, annual=None, governan
     grid = panel.fill_both_ways(grid, [*CONTEXT, *LABELS, *POPULATION])
     # read several times below: liveness checks, shares and the features
     grid = pin(grid)
-    grid = ensure_z(grid, "CII_roll7", "Z_CII_7d")
-    grid = ensure_z(grid, "CII_roll90", "Z_CII_90d")
+    flags = live_flags(grid, ["Z_CII_7d", "Z_CII_90d", *composite.FALLBACK_COLUMNS], [population])
+    grid = ensure_z(grid, "CII_roll7", "Z_CII_7d", live=flags.get("Z_CII_7d"))
+    grid = ensure_z(grid, "CII_roll90", "Z_CII_90d", live=flags.get("Z_CII_90d"))
     grid = grid.withColumn("ESC", rolling.escalation("Z_CII_7d", "Z_CII_90d"))
     grid = neighbors.tier_share(grid)
-    features = rolling.weekly_series_features(composite.weekly_features(grid, population))
+    features = rolling.weekly_series_features(composite.weekly_features(grid, population, flags))
     extra = ["disaster_flag_z", "disaster_deaths_z", "WRI", "theta_c", "Y", "is_war_year"]
     return features.select(*IDS, *F_COLUMNS, *WEEKLY_RAW, *SERIES,
                            *[c for c in extra if c in features.columns])

@@ -128,9 +128,10 @@ def weekly_counts(spark, sf) -> DataFrame:
     return rollups.weekly_rollup(with_week(nation_events(spark, sf), "event_date"))
 
 
-def weekly(spark, sf) -> DataFrame:
+def weekly(spark, sf, events=None) -> DataFrame:
     """The weekly panel; its rollup of the events is written once (see ``weekly_panel``)."""
-    return panels.weekly_panel(nation_events(spark, sf), edges(spark, sf), time="event_date")
+    events = nation_events(spark, sf) if events is None else events
+    return panels.weekly_panel(events, edges(spark, sf), time="event_date")
 
 
 WEEK_ID = "CAST(isoyear({d}) AS VARCHAR) || '-' || lpad(CAST(week({d}) AS VARCHAR), 2, '0')"
@@ -285,9 +286,9 @@ MEDIA = SHIPMENTS + """, media AS (SELECT CAST(strftime(l_shipdate, '%Y%m%d') AS
  FROM shipments GROUP BY 1, 2, 3)"""
 
 
-def leaders(spark, sf) -> DataFrame:
+def leaders(spark, sf, events=None) -> DataFrame:
     """Monthly state per nation: kind of the last event, two election flags."""
-    e = nation_events(spark, sf)
+    e = nation_events(spark, sf) if events is None else events
     return e.groupBy("country_std", "group", F.year("event_date").alias("year"),
                      F.month("event_date").alias("month")).agg(
         F.max_by(F.when(F.col("event_type") != "Protests", F.col("event_type")),

@@ -23,13 +23,15 @@ WEEKLY_Z = ["CII_roll7", "CII_roll90", "spillover"]
 def index_sources(spark, sf, food=False, weekly_z=None):
     """All annual sources in the shape the index expects."""
     a = pin(annual_sources(spark, sf))
+    # the events are joined and read once for the weekly, the monthly and the annual rollup
+    events = pin(nation_events(spark, sf))
     if weekly_z is None:
-        weekly_z = zscores(weekly(spark, sf), WEEKLY_Z)
+        weekly_z = zscores(weekly(spark, sf, events), WEEKLY_Z)
     moved = a.select("country_std", "year", F.col("refugees").alias("refugee_outflow"),
                      F.col("idps").alias("idp_count"))
-    shock = composite.shock_grade(leader_years(spark, sf), irregular_counts=True)
+    shock = composite.shock_grade(leader_years(spark, sf, events), irregular_counts=True)
     sources = {
-        "ucdp": zscores(named_annual(spark, sf), EVENT_Z),
+        "ucdp": zscores(named_annual(spark, sf, events), EVENT_Z),
         "qog": zscores(static_attribute(spark, sf), ["al_ethnic2000"]),
         "vdem": zscores(a.select("country_std", "year", "v2x_libdem", *VDEM_Z), VDEM_Z),
         "wb": zscores(a.select("country_std", "year", *WB_Z), WB_Z),
@@ -150,7 +152,7 @@ def annual_index_with_food(spark, sf):
  {r('0.35 * CII + 0.20 * ESC', 'WRI')} FROM p""")
 def annual_index_events_only(spark, sf):
     """Only the required source: every formula uses its fallback."""
-    src = {"ucdp": zscores(named_annual(spark, sf), EVENT_Z)}
+    src = {"ucdp": zscores(named_annual(spark, sf, events), EVENT_Z)}
     return rounded(panels.annual_index(src, period=None)
                    .select("country_std", "year", "CII", "ESC", "WRI"))
 

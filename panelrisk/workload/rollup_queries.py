@@ -91,8 +91,8 @@ NAMED_SQL = _annual_sql(
     "CAST(year(event_date) AS INTEGER) AS year")
 
 
-def named_annual(spark, sf):
-    return rollups.annual_named(nation_events(spark, sf)
+def named_annual(spark, sf, events=None):
+    return rollups.annual_named((nation_events(spark, sf) if events is None else events)
                                 .withColumn("year", F.year("event_date")))
 
 
@@ -158,8 +158,8 @@ FLAGS = CHANGES + """, flags AS (SELECT country_std, year, MIN("group") AS "grou
  MAX(irregular_change) AS irregular_change_flag FROM changed GROUP BY 1, 2)"""
 
 
-def leader_years(spark, sf):
-    return rollups.flags_to_years(rolling.state_changes(leaders(spark, sf)), {
+def leader_years(spark, sf, events=None):
+    return rollups.flags_to_years(rolling.state_changes(leaders(spark, sf, events)), {
         "leader_change_flag": "leader_change", "election_flag": "election_now",
         "irregular_change_flag": "irregular_change"})
 
