@@ -16,6 +16,7 @@ from panelrisk.session import pin
 
 SLICE = "_slice"
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def _match(left, right, by):
@@ -101,11 +102,14 @@ def join_checked(df: DataFrame, side: DataFrame, by, how="left",
                  limit=BROADCAST_ROWS) -> DataFrame:
     """Join a reduced table back onto raw rows without shuffling them, if it is small.
 
-    The side is written once and counted. Up to ``limit`` rows it is broadcast;
-    beyond that both sides are shuffled and skewed keys are split by the engine.
+    The side is written once and measured. Up to ``limit`` rows and BROADCAST_BYTES (as
+    text) it is broadcast; beyond that both sides are shuffled and skewed keys are split
+    by the engine.
     """
     side = pin(side)
-    small = side.limit(limit + 1).count() <= limit
+    rows, size = side.limit(limit + 1).agg(
+        F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    small = rows <= limit and (size or 0) <= BROADCAST_BYTES
     return join_on(df, F.broadcast(side) if small else side, by, how)
 
 
