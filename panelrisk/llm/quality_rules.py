@@ -96,7 +96,11 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row with an array of log p_target - log p_raw per bucket (add-one smoothing)."""
+    """One row with an array of log p_target - log p_raw per bucket.
+
+    The raw counts are smoothed by one per bucket; the target's by as many counts in all,
+    spread as the raw corpus is, so that without trusted documents all ratios are 0.
+    """
     target = F.broadcast(trusted_ids(labels, trusted_rows))
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     flagged = base.join(target, base["doc_id"] == target["_id"], "left") \
@@ -106,11 +110,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     counts = both.groupBy("b").agg(F.sum("hit").alias("t"), F.count(F.lit(1)).alias("r"))
     every = docs.sparkSession.range(buckets).withColumnRenamed("id", "b")
     dense = every.join(counts, "b", "left").select(
-        "b", (F.coalesce("t", F.lit(0)) + 1.0).alias("t"), (F.coalesce("r", F.lit(0)) + 1.0).alias("r"))
+        "b", F.coalesce("t", F.lit(0)).cast("double").alias("t"),
+        (F.coalesce("r", F.lit(0)) + 1.0).alias("r"))
     packed = dense.agg(F.sort_array(F.collect_list(F.struct("b", "t", "r"))).alias("c"),
                        F.sum("t").alias("nt"), F.sum("r").alias("nr"))
-    return packed.select(F.transform("c", lambda x: F.log(x["t"]) - F.log(x["r"])
-                                     - F.log("nt") + F.log("nr")).alias("ratios"))
+    size = F.lit(float(buckets))
+    return packed.select(F.transform("c", lambda x: F.log(
+        (x["t"] * F.col("nr") / x["r"] + size) / (F.col("nt") + size))).alias("ratios"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
@@ -120,7 +126,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     A NULL text has no words. A text without tokens has llr 0; it is below 50 words
     and so fails the base rule. A document is kept if it passes the base rule and its
     llr is at least ``threshold``. Labels with NULLs or repeated ids count once; with
-    no good label at all the two multinomials differ by smoothing only. Input columns
+    no good label at all every llr is 0 and the base rule decides. Input columns
     named like the new ones are replaced. Carried columns must be of comparable types
     (no maps).
     """
@@ -137,17 +143,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                         + F.when(x["b"].isNull(), F.lit(0.0))
                         .otherwise(F.get("_r", _bucket(buckets, x["a"], x["b"]))))
     m = F.size("_t") * 2 - 1
-    return paired.withColumn("llr", F.when(m > 0, total / m).otherwise(F.lit(0.0))) \
+    judged = paired.withColumn("llr", F.when(m > 0, total / m).otherwise(F.lit(0.0))) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)) \
         .drop("_text", "_t", "_p", "_r")
+    # a generator of one row: filters on the result stay above it, where the measures are done
+    # once, instead of being moved down with a copy of each measure for every use
+    return judged.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in judged.columns]))))
 
 
 def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
-
-    The row number keeps the optimizer from moving the filter below the measures, where
-    it would have to compute each of them anew for every use.
-    """
-    judged = score_quality(docs, labels, **options) \
-        .withColumn("_n", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_n") >= 0)).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their own columns."""
+    return score_quality(docs, labels, **options).filter("kept").select(*docs.columns)
