@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.fixed_values import EPS, TIER_ALPHA
+from panelrisk.fixed_values import EPS, FINAL_MODELS, FINAL_REASONS, TIER_ALPHA
 from panelrisk.functions.scalars import target_week
 from panelrisk.sources.files import missing_columns, write_report
 
@@ -66,7 +66,8 @@ def fit_trees(df: DataFrame, features, label="Y", validation=None, iterations=30
 
     With ``validation`` (a boolean column) the trees are fitted on the other rows; the
     number of trees is where the validation loss stops falling for ``patience`` trees.
-    With one class only in validation all trees are kept.
+    That is looked for in fits of doubling size, as a longer fit begins with the same
+    trees. With one class only in validation all trees are kept.
     """
     gbt = GBTClassifier(featuresCol="_flat", labelCol=label, weightCol=weight, maxDepth=4,
                         stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
@@ -78,13 +79,19 @@ def fit_trees(df: DataFrame, features, label="Y", validation=None, iterations=30
         SQLTransformer(statement="SELECT *, _index + 0.0D AS _who FROM __THIS__"),
         VectorAssembler(inputCols=[*features, "_who"], outputCol="_flat")]).fit(df)
     ready = front.transform(df)
-    fitted = gbt.fit(ready.filter(~F.col(validation)) if validation else ready)
-    if validation:
-        held = ready.filter(F.col(validation))
-        if held.select(label).distinct().count() == 2:
-            trees = stopped_at(fitted.evaluateEachIteration(held), patience)
-            if trees < iterations:
-                fitted = gbt.copy({gbt.maxIter: trees}).fit(ready.filter(~F.col(validation)))
+    own = ready.filter(~F.col(validation)) if validation else ready
+    held = ready.filter(F.col(validation)) if validation else None
+    if held is None or held.select(label).distinct().count() < 2:
+        return PipelineModel(stages=[*front.stages, gbt.fit(own)])
+    size = min(iterations, 2 * patience)
+    while True:
+        fitted = gbt.copy({gbt.maxIter: size}).fit(own)
+        trees = stopped_at(fitted.evaluateEachIteration(held), patience)
+        if size == iterations or trees + patience <= size:
+            break
+        size = min(iterations, 2 * size)
+    if trees < size:
+        fitted = gbt.copy({gbt.maxIter: trees}).fit(own)
     return PipelineModel(stages=[*front.stages, fitted])
 
 
@@ -130,13 +137,13 @@ def choose_final(df: DataFrame) -> DataFrame:
         return (F.col("auc_ensemble") < F.col(f"auc_{than}")) \
             | (F.col("ap_ensemble") < F.col(f"ap_{than}"))
     zero_alpha = F.col("alpha") <= 0.05
+    trees, sequence, ensemble = FINAL_MODELS
+    no_weight, below_sequence, below_trees, best = FINAL_REASONS
     return df.withColumns({
-        "final_model": F.when(zero_alpha | worse("sequence"), "sequence")
-        .when(worse("trees"), "trees").otherwise("ensemble"),
-        "final_reason": F.when(zero_alpha, "alpha_is_zero")
-        .when(worse("sequence"), "ensemble_not_better_than_sequence")
-        .when(worse("trees"), "ensemble_not_better_than_trees")
-        .otherwise("ensemble_best_or_tied")})
+        "final_model": F.when(zero_alpha | worse("sequence"), sequence)
+        .when(worse("trees"), trees).otherwise(ensemble),
+        "final_reason": F.when(zero_alpha, no_weight).when(worse("sequence"), below_sequence)
+        .when(worse("trees"), below_trees).otherwise(best)})
 
 
 def final_score(meta):

@@ -322,11 +322,11 @@ def onset_label_weekly(spark, sf):
 
 
 @query("neighbour_inflow", with_cte(WEEKLY) + f"""SELECT e.src, e.dst,
- {r('SUM(w.CII / (sqrt(e.dist) + 1))', 'inflow', 4)} FROM weekly w
+ {r('SUM(w.CII / (sqrt(e.dist) + 1))', 'inflow')} FROM weekly w
  JOIN edges e ON e.dst = w.country_std GROUP BY 1, 2""")
 def neighbour_inflow(spark, sf):
     """What each neighbour contributes over all weeks."""
     w = weekly(spark, sf).groupBy(F.col("country_std").alias("dst")).agg(F.sum("CII").alias("v"))
     e = edges(spark, sf)
     return rounded(w.join(e, "dst").select("src", "dst", (F.col("v") / (F.sqrt("dist") + 1))
-                                           .alias("inflow")), 4)
+                                           .alias("inflow")))

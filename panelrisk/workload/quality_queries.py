@@ -53,12 +53,12 @@ def column_profile(spark, sf):
 
 @query("iqr_outliers", f"""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a,
  quantile_cont(o_totalprice, 0.75) AS b FROM orders), f AS (SELECT a - 0.25 * (b - a) AS low,
- b + 0.25 * (b - a) AS high FROM q) SELECT 'o_totalprice' AS variable, {r('low', 'low', 4)},
- {r('high', 'high', 4)}, COUNT(*) FILTER (o_totalprice < low OR o_totalprice > high)
+ b + 0.25 * (b - a) AS high FROM q) SELECT 'o_totalprice' AS variable, {r('low', 'low')},
+ {r('high', 'high')}, COUNT(*) FILTER (o_totalprice < low OR o_totalprice > high)
  AS outliers, {r('AVG(CASE WHEN o_totalprice < low OR o_totalprice > high THEN 1.0 ELSE 0.0 END) * 100',
-                 'percent', 4)} FROM orders CROSS JOIN f GROUP BY low, high""")
+                 'percent')} FROM orders CROSS JOIN f GROUP BY low, high""")
 def iqr_outliers(spark, sf):
-    return rounded(quality.iqr_outliers(table(spark, sf, "orders"), ["o_totalprice"], 0.25), 4)
+    return rounded(quality.iqr_outliers(table(spark, sf, "orders"), ["o_totalprice"], 0.25))
 
 
 @query("iqr_outliers_by_key", f"""WITH f AS (SELECT event_type,
@@ -203,13 +203,13 @@ def strong_correlations(spark, sf):
 
 
 @query("descriptive_statistics", " UNION ALL ".join(
-    f"SELECT '{c}' AS variable, {r(f'AVG({c})', 'mean', 4)}, {r(f'stddev_samp({c})', 'std', 4)}, "
-    f"COUNT({c}) AS n, {r(f'MIN({c})', 'minimum', 4)}, "
-    + ", ".join(r(f"quantile_cont({c}, {p})", n, 4)
+    f"SELECT '{c}' AS variable, {r(f'AVG({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')}, "
+    f"COUNT({c}) AS n, {r(f'MIN({c})', 'minimum')}, "
+    + ", ".join(r(f"quantile_cont({c}, {p})", n)
                 for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
-    + f", {r(f'MAX({c})', 'maximum', 4)} FROM lineitem" for c in _NUM))
+    + f", {r(f'MAX({c})', 'maximum')} FROM lineitem" for c in _NUM))
 def descriptive_statistics(spark, sf):
-    return rounded(quality.describe(table(spark, sf, "lineitem"), _NUM), 4)
+    return rounded(quality.describe(table(spark, sf, "lineitem"), _NUM))
 
 
 @query("tier_description", with_cte(SHIPMENTS) + f"""SELECT "group", 'l_quantity' AS variable,

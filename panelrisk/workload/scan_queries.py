@@ -170,6 +170,14 @@ def conversion_stats(spark, sf):
     return files.conversion_stats(spark, f"{base}/weekly.csv", done["weekly"])
 
 
+@query("conversion_facts", with_cte(COUNTS) + """SELECT COUNT(*) AS rows, TRUE AS written,
+ TRUE AS read FROM counts""")
+def conversion_facts(spark, sf):
+    stats = conversion_stats(spark, sf)
+    return stats.select("rows", (F.col("bytes_out") > 0).alias("written"),
+                        (F.col("bytes_in") > 0).alias("read"))
+
+
 @query("extract_union", """SELECT l_orderkey, l_linenumber,
  CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS l_quantity,
  CASE WHEN l_returnflag <> 'A' THEN l_discount END AS l_discount

@@ -133,14 +133,14 @@ def expanding_folds(spark, sf):
 
 
 @query("standardiser", with_cte(WINDOWS) + """, steps AS (SELECT unnest(fs) AS f,
- unnest(es) AS e FROM win) SELECT ROUND(AVG(f), 4) AS mean_f, ROUND(AVG(e), 4) AS mean_e,
- ROUND(stddev_pop(f) + 1e-8, 4) AS sigma_f, ROUND(stddev_pop(e) + 1e-8, 4) AS sigma_e
+ unnest(es) AS e FROM win) SELECT ROUND(AVG(f), 6) AS mean_f, ROUND(AVG(e), 6) AS mean_e,
+ ROUND(stddev_pop(f) + 1e-8, 6) AS sigma_f, ROUND(stddev_pop(e) + 1e-8, 6) AS sigma_e
  FROM steps""")
 def standardiser(spark, sf):
     s = models.standardiser(sequences.windows(labelled_weeks(spark, sf), FEATURES), "X", 2)
     return rounded(s.select(F.col("mean")[0].alias("mean_f"), F.col("mean")[1].alias("mean_e"),
                             F.col("sigma")[0].alias("sigma_f"),
-                            F.col("sigma")[1].alias("sigma_e")), 4)
+                            F.col("sigma")[1].alias("sigma_e")))
 
 
 def _table(spark, sf):
@@ -165,7 +165,7 @@ def class_weights(spark, sf):
 @query("boosted_trees")
 def boosted_trees(spark, sf):
     rows = _weighted(spark, sf)
-    m = models.fit_trees(rows, FLAT_NAMES, validation="is_val", iterations=20)
+    m = models.fit_trees(rows, FLAT_NAMES, validation="is_val")
     return models.score(m, rows, "p_trees").select("country_std", "week_end", "Y", "p_trees")
 
 
@@ -181,19 +181,49 @@ def window_classifier(spark, sf):
 
 @query("trained_ensemble")
 def trained_ensemble(spark, sf):
-    scored, _ = training.train(_table(spark, sf), FEATURES, iterations=20)
+    scored, _ = training.train(_table(spark, sf), FEATURES)
     return scored.select("country_std", "week_end", "split", "Y", "p_trees", "p_sequence",
                          "p_ensemble", "p_conflict", "pred", "threshold")
 
 
 @query("training_report")
 def training_report(spark, sf):
-    return training.train(_table(spark, sf), FEATURES, iterations=20)[1]
+    return training.train(_table(spark, sf), FEATURES)[1]
 
 
 @query("saved_model_scoring")
 def saved_model_scoring(spark, sf):
     t, folder = _table(spark, sf), scratch(spark, "model")
-    training.train(t, FEATURES, folder, iterations=20)
+    training.train(t, FEATURES, folder)
     rows, _, _ = training.evaluate_saved(spark, folder, t, "test", start="2000-06-01")
     return rows
+
+
+@query("training_facts", with_cte(SPLIT) + """SELECT split, COUNT(*) AS rows,
+ COUNT(*) AS scores_in_range, COUNT(*) AS scores_follow_threshold FROM sp GROUP BY split""")
+def training_facts(spark, sf):
+    """What must hold for any trained model: all rows scored, in range, cut at the threshold."""
+    scored, _ = training.train(_table(spark, sf), FEATURES)
+    inside = F.lit(True)
+    for c in ("p_trees", "p_sequence", "p_ensemble", "p_conflict"):
+        inside = inside & F.col(c).between(0, 1)
+    follows = F.col("pred") == (F.col("p_conflict") >= F.col("threshold")).cast("int")
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("rows"),
+                                       F.count_if(inside).alias("scores_in_range"),
+                                       F.count_if(follows).alias("scores_follow_threshold"))
+
+
+@query("saved_model_facts", with_cte(SPLIT) + """SELECT COUNT(*) AS rows, COUNT(*) AS equal_scores,
+ TRUE AS auc_known FROM sp WHERE split = 'test'""")
+def saved_model_facts(spark, sf):
+    """A stored model scores the test rows as the trained one did; the report has an AUC."""
+    t, folder = _table(spark, sf), scratch(spark, "model")
+    scored, report = training.train(t, FEATURES, folder)
+    again, _, _ = training.evaluate_saved(spark, folder, t, "test")
+    both = again.select("country_std", "week_end", F.col("p_conflict").alias("again")) \
+        .join(scored, ["country_std", "week_end"])
+    auc = report.select("auc").scalar()
+    return both.agg(F.count(F.lit(1)).alias("rows"),
+                    F.count_if(F.abs(F.col("again") - F.col("p_conflict")) < 1e-9)
+                    .alias("equal_scores")).select("rows", "equal_scores",
+                                                   auc.isNotNull().alias("auc_known"))
