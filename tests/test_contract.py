@@ -38,6 +38,6 @@ def test_matches_sql(spark, sf, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["boosted_trees", "trained_ensemble", "conversion_stats"])
+@pytest.mark.parametrize("name", ["window_classifier", "conversion_stats"])
 def test_runs_without_sql(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
