@@ -8,8 +8,8 @@ the suffixes at anchors, about one in 35, together with the few bytes before the
 
 1. Anchors: their K-byte hashes are counted. A hash seen once decides all windows of its
    anchor (they are unique), which leaves out almost all suffixes of text that does not
-   repeat. Hashes are cut into ``parts``; each task sends one packed row per part, with
-   at most ``local_hot`` rows for a hash, so a hot passage costs a constant per task.
+   repeat. Hashes are cut into ``parts``; each batch sends one packed row per part, and of
+   a hot hash one witness only.
 2. Runs: each task sorts its remaining suffixes, settles windows that repeat inside the
    run, and sends the rest as front-coded runs (bytes shared with the suffix before are
    left out), one run per part.
@@ -20,7 +20,8 @@ the suffixes at anchors, about one in 35, together with the few bytes before the
 4. The runs of removed bytes go back to their document.
 
 Hot anchors (a passage that a third of all documents share, in ever new surroundings) are
-told by a hash that is frequent inside one task. Their windows are sent one by one as
+told by a hash that is frequent inside one batch: so frequent that, were it so in all
+batches, a part would gather more than ``hot_rows`` suffixes. Their windows are sent one by one as
 suffixes of their own, spread by a hash of the whole window, of which a run holds one copy
 at most; so no part gathers a hot group. All of this is exact, with no cap on copies.
 """
@@ -38,8 +39,8 @@ from panelrisk.llm.tables import shuffle_width, slices, unique_ids
 
 #: Bytes that an anchor's hash covers; windows of ``span`` bytes choose among span - K + 1 anchors.
 K = 32
-#: Occurrences of a hash inside one batch from which it counts as hot everywhere.
-LOCAL_HOT = 32
+#: Most rows that one hash may bring to a part; beyond, it counts as hot everywhere.
+HOT_ROWS = 250_000
 #: Text bytes handled at a time, and positions hashed at a time.
 BATCH_BYTES = 8 << 20
 CHUNK = 1 << 20
@@ -255,7 +256,21 @@ def _spans(s: _Suffixes, repeats, span):
     edge = np.diff(np.pad(repeats.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, first = np.nonzero(edge == 1)
     _, behind = np.nonzero(edge == -1)
-    return s.doc[rows], s.pos[rows] - (behind - 1), s.pos[rows] - first + span
+    return _union(s.doc[rows], s.pos[rows] - (behind - 1), s.pos[rows] - first + span)
+
+
+def _union(doc, start, stop):
+    """Ranges of the same document that touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    if len(doc) < 2:
+        return doc, start, stop
+    # shifting each document beyond the one before makes one running maximum do for all
+    shift = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(stop + shift)
+    head = np.concatenate(([True], (start + shift)[1:] > reach[:-1]))
+    last = np.concatenate((np.flatnonzero(head)[1:], [len(doc)])) - 1
+    return doc[head], start[head], reach[last] - shift[last]
 
 
 def _windows(data, doc, at, span):
@@ -466,13 +481,21 @@ def _merge(span):
 
 # --- the operator --------------------------------------------------------------------------
 
+def _local_hot(base: DataFrame, hot_rows: int) -> int:
+    """Rows of a hash in one batch from which all batches together could pass ``hot_rows``."""
+    per_task = base.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("b"))
+    batches = per_task.agg(F.sum(2 * F.ceil(F.col("b") / BATCH_BYTES) + 1)).first()[0] or 1
+    return max(2, hot_rows // int(batches))
+
+
 def repeated_spans(base: DataFrame, span: int = 100, parts: int | None = None,
-                   local_hot: int = LOCAL_HOT) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, local_hot: int | None = None) -> DataFrame:
     """(doc_id, spans): per document the (start, stop) byte ranges to remove, not yet merged.
 
     ``base`` has doc_id (unique) and text (binary).
     """
     parts = parts or 4 * shuffle_width(base.sparkSession)
+    local_hot = local_hot or _local_hot(base, hot_rows)
     seen = base.mapInArrow(_seen_rows(span, parts, local_hot), _SEEN)
     again = seen.groupBy("part").applyInPandas(_repeated, "doc_id long, at long")
     per_doc = again.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
@@ -515,20 +538,20 @@ def _apply(batches):
 
 
 def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
-                 local_hot: int = LOCAL_HOT) -> DataFrame:
+                 hot_rows: int = HOT_ROWS, local_hot: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` holds the remaining bytes.
 
     One row per row of ``docs``. A NULL text is empty and stays so; texts shorter than
     ``span`` lose nothing. Rows without a doc_id come before all others. Rows that share
     a doc_id are taken in the order of their texts, so a repeated row is a later copy.
-    Other columns are ignored; an empty table gives no rows. 33 <= span <= 127. A small
-    job looks for repeated ids while the plan is built.
+    Other columns are ignored; an empty table gives no rows. 33 <= span <= 127. Two small
+    jobs look for repeated ids and at the size of the input while the plan is built.
     """
     if not K < span <= 127:
         raise ValueError("span must be above 32 and at most 127")
     base, named = unique_ids(docs)
     base = base.withColumn("text", F.col("text").cast("binary"))
-    spans = repeated_spans(base, span, parts, local_hot)
+    spans = repeated_spans(base, span, parts, hot_rows, local_hot)
     cut = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return named(cut)
