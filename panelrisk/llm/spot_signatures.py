@@ -99,8 +99,9 @@ def spot_fingerprints(docs: DataFrame, chain: int = 2) -> DataFrame:
     base, named = unique_ids(docs)
     pairs = next_documents(base)
     third = F.floor(F.col("n") / 3).cast("int")
-    behind = signatures(base, "text", "next_sig", chain) \
-        .join(pairs, F.col("doc_id") == F.col("next")) \
+    # signatures are made behind the exchange, which then is the same for both joins
+    behind = signatures(base.join(pairs, F.col("doc_id") == F.col("next")), "text", "next_sig",
+                        chain) \
         .select("this", "n", F.substring("text", F.lit(1), third).alias("head"), "next_sig")
     both = base.join(behind, F.col("doc_id") == F.col("this"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - third), "head")
