@@ -1,7 +1,6 @@
 """The pipeline's stages: each against brute force on what its predecessor kept."""
 
 import collections
-import re
 import struct
 import zlib
 
@@ -78,4 +77,3 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             .write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert [r.doc_id for r in got] == [r[0] for r in rows if r[1]]
-    assert re.match("[0-9]+", str(len(got)))

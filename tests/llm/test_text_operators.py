@@ -104,18 +104,13 @@ def test_suffix_dedup_edges(spark):
     assert suffixes(frame(spark, [])) == []
     long = "ab" * 400_000
     rows = [(1, "x" * 99), (2, "x" * 99), (3, long), (-5, long[:150])]
-    assert suffixes(frame(spark, rows)) == sorted(without_repeats_long(rows), key=str)
+    assert suffixes(frame(spark, rows)) == sorted(without_repeats(rows), key=str)
     text = "a passage that is repeated under one id, again and again, until it is over a hundred bytes long, so"
     text = text + text[::-1]
     got = suffixes(clashing(frame(spark, [(1, text), (1, text), (None, None)])))
     assert [g[:3] for g in got] == [(1, len(text), 0), (1, len(text), len(text)), (None, 0, 0)]
 
 
-def without_repeats_long(rows):
-    """Brute force by hash of the window, for long periodic texts."""
-    return without_repeats(rows)
-
-
 def test_merge_runs_gives_sorted_order_and_shared_lengths():
     rnd = random.Random(3)
     runs, everything = [], []
