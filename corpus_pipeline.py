@@ -7,7 +7,6 @@ again as the next one's documents. All but the last return the columns of ``docu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from panelrisk.llm import line_dedup, packing, quality_rules, simhash_groups, suffix_dedup
 from panelrisk.llm.tables import table
@@ -36,8 +35,7 @@ def passages(spark, docs, sf_dir):
 
 def sequences(spark, docs, sf_dir):
     """Token pieces with their places in sequences of 1024 tokens."""
-    parts = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(parts.withColumn("ids_crc32", F.crc32("ids")))
+    return packing.packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies),

@@ -519,7 +519,8 @@ def _cut(data: bytes, starts, stops):
     return b"".join(kept), int((stops - starts).sum()), len(starts)
 
 
-def _apply(batches):
+def _apply(batches, as_text=False):
+    kind = pa.string() if as_text else pa.binary()
     for batch in batches:
         out = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [],
                "kept": []}
@@ -529,18 +530,23 @@ def _apply(batches):
             if spans.is_valid and len(spans.values):
                 kept, removed, n = _cut(data, spans.values.field("start").to_numpy(),
                                         spans.values.field("stop").to_numpy())
+            if as_text:
+                kept = kept.decode("utf-8", "ignore")
             for k, v in (("n_bytes", len(data)), ("n_removed", removed), ("n_spans", n),
                          ("kept", kept)):
                 out[k].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
             [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-             ("n_spans", pa.int64()), ("kept", pa.binary())]))
+             ("n_spans", pa.int64()), ("kept", kind)]))
 
 
 def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
-                 hot_rows: int = HOT_ROWS, local_hot: int | None = None) -> DataFrame:
+                 hot_rows: int = HOT_ROWS, local_hot: int | None = None,
+                 as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` holds the remaining bytes.
 
+    With ``as_text`` it is a string, without characters that lost some of their bytes.
+
     One row per row of ``docs``. A NULL text is empty and stays so; texts shorter than
     ``span`` lose nothing. Rows without a doc_id come before all others. Rows that share
     a doc_id are taken in the order of their texts, so a repeated row is a later copy.
@@ -552,8 +558,10 @@ def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
     base, named = unique_ids(docs)
     base = base.withColumn("text", F.col("text").cast("binary"))
     spans = repeated_spans(base, span, parts, hot_rows, local_hot)
+    kind = "string" if as_text else "binary"
     cut = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        lambda batches: _apply(batches, as_text),
+        f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
     return named(cut)
 
 
@@ -563,15 +571,8 @@ def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     A character that loses some of its bytes goes whole; n_chars, if there, is counted
     anew. doc_id must be unique and not NULL here: the other columns are joined by it.
     """
-    def whole_characters(batches):
-        for batch in batches:
-            text = [v.as_buffer().to_pybytes().decode("utf-8", "ignore")
-                    for v in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())],
-                                             ["_d", "_kept"])
-
-    kept = suffix_dedup(docs, span).select("doc_id", "kept").mapInArrow(
-        whole_characters, "_d long, _kept string")
+    kept = suffix_dedup(docs, span, as_text=True).select(F.col("doc_id").alias("_d"),
+                                                         F.col("kept").alias("_kept"))
     joined = docs.drop("text", "_d", "_kept").join(kept, F.col("doc_id") == F.col("_d"))
     new = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
