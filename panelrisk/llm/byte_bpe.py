@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import base64
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm.tables import slices, texts
 from panelrisk.llm.word_cache import CACHE_SIZE, CACHED_CHARS, WordCache
 
-#: Characters encoded at a time.
-BATCH_CHARS = 1 << 20
+#: Text bytes encoded at a time.
+BATCH_BYTES = 1 << 20
 
 _coders: dict = {}
 
@@ -111,7 +113,7 @@ class Coder:
             known = array("I", ids).tobytes()
             if len(piece) <= CACHED_CHARS:
                 if len(self.tokens) >= CACHE_SIZE:
-                    self.tokens.clear()
+                    self.tokens = dict(islice(self.tokens.items(), CACHE_SIZE // 2))
                 self.tokens[piece] = known
         return known
 
@@ -139,10 +141,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = coder(ranks_path, pattern)
         for batch in batches:
-            strings = batch.column("text").to_pylist()
-            ids = []
-            for a, b in slices([len(s) for s in strings], BATCH_CHARS):
-                ids += own.cache.ids(strings[a:b])
+            column, ids = batch.column("text"), []
+            for a, b in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
+                ids += own.cache.ids(column.slice(a, b - a).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())],
                                              ["doc_id", "ids"])
 

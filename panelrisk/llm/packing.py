@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import bisect
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from panelrisk.llm.tables import slices, texts
 from panelrisk.llm.word_cache import WordCache
 from panelrisk.session import pin
 
-BATCH_CHARS = 1 << 20
+#: Text bytes encoded at a time.
+BATCH_BYTES = 1 << 20
 _caches: dict = {}
 
 
@@ -37,7 +40,7 @@ def _cache(path: str) -> WordCache:
 
         def encode(strings):
             found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            return [array("I", e.ids).tobytes() for e in found]
 
         _caches[path] = WordCache(encode, lambda text: any(s in text for s in special))
     return _caches[path]
@@ -56,11 +59,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2,
     def run(batches):
         cache = _cache(tokenizer_path)
         for batch in batches:
-            strings = batch.column("text").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
-            for a, b in slices([len(s) for s in strings], BATCH_CHARS):
+            column, ids = batch.column("text"), batch.column("doc_id").to_pylist()
+            for a, b in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
                 rows = []
-                for doc, data in zip(ids[a:b], cache.ids(strings[a:b])):
+                for doc, data in zip(ids[a:b], cache.ids(column.slice(a, b - a).to_pylist())):
                     data += end
                     n = len(data) // 4
                     first = n if n <= capacity else n % capacity or capacity

@@ -9,22 +9,36 @@ texts are encoded whole, so the result never depends on the cache.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
-#: Words kept per worker before the cache starts anew, and the longest word kept.
-CACHE_SIZE = 300_000
+#: Most words kept per worker, and the longest word kept.
+CACHE_SIZE = 350_000
 CACHED_CHARS = 64
 
-#: Two white spaces in a row, white space other than space and line feed, or at an end.
-_ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
+#: White space other than space and line feed, and the mark used for splitting.
+_ODD = re.compile("[\\x00\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_STOPS = frozenset(".,;:!?")
 
 
 def words_of(text: str):
     """The words of a text, or None if it must be encoded whole."""
-    if _ODD.search(text):
+    if not text:
+        return []
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text \
+            or "\n\n" in text or _ODD.search(text):
         return None
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
+def _stem(word: str):
+    """The letters before one closing sign, which the pattern always cuts off; else None."""
+    if word[-1] in _STOPS:
+        letters = word[1:-1] if word[0] == " " else word[:-1]
+        if letters.isalpha():
+            return word[:-1]
+    return None
+
+
 class WordCache:
     """``encode`` turns a list of strings into a list of bytes (ids as little-endian uint32)."""
 
@@ -46,16 +60,24 @@ class WordCache:
                 missing.update(w for w in words if w not in known)
         fresh = {}
         if missing:
-            new = list(missing)
-            fresh = dict(zip(new, self.encode(new)))
-            short = {w: v for w, v in fresh.items() if len(w) <= CACHED_CHARS}
+            stems = {w: stem for w in missing if (stem := _stem(w))}
+            new = [w for w in {stems.get(w, w) for w in missing} | {w[-1] for w in stems}
+                   if w not in known]
+            found = dict(zip(new, self.encode(new)))
+            for w, stem in stems.items():
+                sign = w[-1]
+                found[w] = (found.get(stem) or known[stem]) + (found.get(sign) or known[sign])
+            short = {w: v for w, v in found.items() if len(w) <= CACHED_CHARS}
             if len(known) + len(short) <= CACHE_SIZE:
                 known.update(short)
-                fresh = {w: v for w, v in fresh.items() if w not in short}
+                fresh = {w: v for w, v in found.items() if len(w) > CACHED_CHARS}
             else:
-                # what this batch still needs stays at hand; the cache starts anew
-                fresh = {**fresh, **{w: known[w] for ws in split if ws for w in ws if w in known}}
-                known.clear()
+                # the words met first are the frequent ones: they stay, the later half goes,
+                # but for what this batch still needs
+                kept = dict(islice(known.items(), CACHE_SIZE // 2))
+                fresh = {**found, **{w: known[w] for ws in split if ws for w in ws
+                                     if w in known and w not in kept}}
+                self.known = known = kept
         whole = dict(zip(odd, self.encode([batch[i] for i in odd]))) if odd else {}
         for at, words in enumerate(split):
             if words is None:
