@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import shuffle_width, texts
+from panelrisk.llm.tables import shuffle_width, texts, with_row_ids
 from panelrisk.session import pin
 
 BITS = 64
@@ -274,15 +274,19 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, k: int = 4,
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group, all columns as they are.
+    """The first row of each group of near copies, all columns as they are.
 
-    Rows that repeat both doc_id and text are one document and leave one row; rows
-    without a doc_id are groups of their own and stay.
+    First is the smallest doc_id and, where rows share it, the smallest text; rows are told
+    apart by a row id. Rows that repeat both doc_id and text are one document and leave one
+    row; rows without a doc_id are groups of their own and stay, repeated or not.
     """
-    twice = docs.groupBy("doc_id").count().filter("count > 1")
-    if not twice.isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    groups = simhash_groups(docs.filter("doc_id IS NOT NULL"), shingle, k)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    known, nameless = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    twice = known.groupBy("doc_id").count().filter("count > 1")
+    if twice.isEmpty():
+        rows = known.withColumn("_row", F.col("doc_id").cast("long"))
+    else:
+        rows = with_row_ids(known.dropDuplicates(["doc_id", "text"]), "_row")
+    groups = simhash_groups(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, k)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(
+        F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(nameless)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import shuffle_width, slices, unique_ids
+from panelrisk.llm.tables import shuffle_width, slices, texts, unique_ids, with_row_ids
 
 #: Bytes that an anchor's hash covers; windows of ``span`` bytes choose among span - K + 1 anchors.
 K = 32
@@ -540,6 +540,18 @@ def _apply(batches, as_text=False):
              ("n_spans", pa.int64()), ("kept", kind)]))
 
 
+def _cut_texts(base, span, parts=None, hot_rows=HOT_ROWS, local_hot=None, as_text=False):
+    """The rows of ``suffix_dedup`` for a base of unique doc_ids that are not NULL, and texts."""
+    if not K < span <= 127:
+        raise ValueError("span must be above 32 and at most 127")
+    base = base.withColumn("text", F.col("text").cast("binary"))
+    spans = repeated_spans(base, span, parts, hot_rows, local_hot)
+    kind = "string" if as_text else "binary"
+    return base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+        lambda batches: _apply(batches, as_text),
+        f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+
+
 def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
                  hot_rows: int = HOT_ROWS, local_hot: int | None = None,
                  as_text: bool = False) -> DataFrame:
@@ -553,27 +565,21 @@ def suffix_dedup(docs: DataFrame, span: int = 100, parts: int | None = None,
     Other columns are ignored; an empty table gives no rows. 33 <= span <= 127. Two small
     jobs look for repeated ids and at the size of the input while the plan is built.
     """
-    if not K < span <= 127:
-        raise ValueError("span must be above 32 and at most 127")
     base, named = unique_ids(docs)
-    base = base.withColumn("text", F.col("text").cast("binary"))
-    spans = repeated_spans(base, span, parts, hot_rows, local_hot)
-    kind = "string" if as_text else "binary"
-    cut = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        lambda batches: _apply(batches, as_text),
-        f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
-    return named(cut)
+    return named(_cut_texts(base, span, parts, hot_rows, local_hot, as_text))
 
 
 def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``, all other columns as they are.
 
-    A character that loses some of its bytes goes whole; n_chars, if there, is counted
-    anew. doc_id must be unique and not NULL here: the other columns are joined by it.
+    One row per row of ``docs``, in the order of ``suffix_dedup``; the other columns are
+    joined by a row id, so doc_id may be NULL or repeat. A character that loses some of its
+    bytes goes whole; n_chars, if there, is counted anew.
     """
-    kept = suffix_dedup(docs, span, as_text=True).select(F.col("doc_id").alias("_d"),
-                                                         F.col("kept").alias("_kept"))
-    joined = docs.drop("text", "_d", "_kept").join(kept, F.col("doc_id") == F.col("_d"))
+    rows = with_row_ids(docs, "_row")
+    kept = _cut_texts(texts(rows, "_row"), span, as_text=True).select(
+        F.col("doc_id").alias("_row"), F.col("kept").alias("_kept"))
+    joined = rows.drop("text", "_kept").join(kept, "_row")
     new = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("_kept").cast("long")

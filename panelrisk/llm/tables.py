@@ -61,3 +61,19 @@ def unique_ids(docs: DataFrame):
     return rows.select("doc_id", "text"), lambda df: df.join(
         names, df["doc_id"] == names["_id"]).withColumn("doc_id", F.col("given")) \
         .drop("_id", "given")
+
+
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of ``docs`` plus a row id that is unique and not NULL, in the order of doc_id.
+
+    Numbered as in ``unique_ids``: the given ids serve as long as they are unique; where they
+    repeat, the rows are written once with their places by doc_id and text.
+    """
+    given = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long"))
+    twice = docs.groupBy(given.alias("id")).count().filter("count > 1")
+    if twice.isEmpty():
+        return docs.withColumn(name, given)
+    rows = global_index(docs.select(F.struct("*").alias("_all")),
+                        [F.col("_all.doc_id").cast("long"),
+                         F.coalesce(F.col("_all.text"), F.lit(""))], name)
+    return rows.select("_all.*", name)

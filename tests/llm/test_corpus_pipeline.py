@@ -77,3 +77,33 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             .write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, str(folder)).collect()
         assert [r.doc_id for r in got] == [r[0] for r in rows if r[1]]
+
+
+def test_pipeline_on_missing_and_repeated_ids(spark, tmp_path):
+    """Rows are told apart by more than their doc_id, from the first stage to the last."""
+    a, b, c, d = (" ".join(f"{k}{i * i}" for i in range(80)) for k in "abcd")
+    shared = " " + " ".join(f"shared{i}" for i in range(20))
+    rows = [(None, a + shared, "en", "s0", None), (None, d, "en", "s5", None),
+            (7, b, "en", "s1", 1), (7, c + shared, "fr", "s2", 2),
+            (7, (c + shared).upper(), "de", "s3", 3), (7, b, "en", "s1", 1), (3, d + shared, "en", "s4", 4)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, ddl).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    kept = spark.read.parquet(f"{tmp_path}/passages").collect()
+    # the row in capitals comes first of its group; shared stays in the row without a doc_id
+    first = {"s0": a + shared, "s5": d, "s1": b, "s3": (c + shared).upper(), "s4": ""}
+    assert sorted((str(r.doc_id), r.source, r.lang, r.text, r.n_chars) for r in kept) == sorted(
+        (str(i), s, lang, first[s], len(first[s]))
+        for i, lang, s in ((None, "en", "s0"), (None, "en", "s5"), (7, "en", "s1"), (7, "de", "s3"),
+                           (3, "en", "s4")))
+    heads = [str(r.doc_id) for r in docs.filter("piece = 0").collect()]
+    assert sorted(heads) == ["3", "7", "7", "None", "None"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = corpus_pipeline.run(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, docs.select(*columns).collect()))
