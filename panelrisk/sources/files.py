@@ -56,10 +56,16 @@ def _text_cells(spark, paths, names, header, multi_line):
         raw = spark.read.option("header", header).option("multiLine", True).option("escape", '"') \
             .option("mode", "PERMISSIVE").schema(cells).csv(paths)
         return raw.withColumn("_open", F.lit(False))
-    lines = spark.read.text(paths).filter(F.length(F.trim("value")) > 0)
     if header:
-        first = spark.read.text(paths[0]).first()[0]
-        lines = lines.filter(F.col("value") != F.lit(first))
+        # the CSV reader leaves out the first line of each file and no other; here a line is one
+        # cell, and a line that holds the separator comes whole as a corrupt record
+        lines = spark.read.option("header", True).option("sep", "\x01").option("quote", "") \
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line") \
+            .schema("value string, _line string").csv(paths) \
+            .select(F.coalesce("_line", "value").alias("value"))
+    else:
+        lines = spark.read.text(paths)
+    lines = lines.filter(F.length(F.trim("value")) > 0)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     ddl = ", ".join(f"`{f.name}` string" for f in cells)
     parsed = lines.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE", "escape": '"'}).alias("c"),

@@ -69,3 +69,16 @@ def test_registry(spark, sf):
 def test_union_of_nothing():
     with pytest.raises(ValueError):
         files.union_extracts([None])
+
+
+def test_headers_go_by_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("k,v\nk,v\n1,x\x01y\n\n2, z\\\n")
+    (tmp_path / "in" / "b.csv").write_text('\ufeff"k", v \n3,"u,w"\n')
+    (tmp_path / "in" / "c.csv").write_text("")
+    df = files.scan_csv(spark, str(tmp_path / "in"), T.StructType.fromDDL("k string, v string"))
+    assert sorted(map(tuple, files.accepted(df).collect())) == [
+        ("1", "x\x01y"), ("2", " z\\"), ("3", "u,w"), ("k", "v")]
+    numbers = files.scan_csv(spark, str(tmp_path / "in"), T.StructType.fromDDL("k int, v string"))
+    assert {r.outcome: r.rows for r in files.rejected_counts(numbers).collect()} \
+        == {"accepted": 3, "bad k": 1}
