@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
+
 from panelrisk.sources import files
 from panelrisk.sources.registry import Sources
+from panelrisk.workload import scan_queries
 
 
 def test_damaged_csv(spark, tmp_path):
@@ -82,3 +85,21 @@ def test_headers_go_by_file(spark, tmp_path):
     numbers = files.scan_csv(spark, str(tmp_path / "in"), T.StructType.fromDDL("k int, v string"))
     assert {r.outcome: r.rows for r in files.rejected_counts(numbers).collect()} \
         == {"accepted": 3, "bad k": 1}
+
+
+def test_extracts_are_folders_of_many_files(spark, sf, tmp_path):
+    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    customer.repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        for p in scan_queries._two_extracts(spark, str(tmp_path)):
+            lines = [spark.read.text(f).count() for f in files._csv_files(spark, p)]
+            assert len(lines) == 3 and min(lines) > 1
+        for name in ("csv_by_header", "csv_by_header_multi_line"):
+            got, want = (sorted(map(str, entry.queries()[name](spark, folder).collect()))
+                         for folder in (str(tmp_path), sf))
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
