@@ -41,3 +41,8 @@ def test_matches_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", ["window_classifier", "conversion_stats"])
 def test_runs_without_sql(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["boosted_trees", "trained_ensemble"])
+def test_fits_run_without_sql(spark, sf, name):
+    assert entry.queries()[name](spark, sf).count() > 0
