@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm.tables import slices, texts
-from panelrisk.llm.word_cache import CACHE_SIZE, CACHED_CHARS, WordCache
+from panelrisk.llm.word_cache import WordCache
 
 #: Text bytes encoded at a time.
 BATCH_BYTES = 1 << 20
 
-_coders: dict = {}
+#: Bytes of cached words in a worker, and pre-tokens remembered within one call besides.
+CACHE_BYTES = 64 << 20
+MET_SIZE = 50_000
+
+_workers: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -89,82 +92,117 @@ def merge_pairs(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Coder:
-    """Ranks, pattern and caches, built once per worker."""
+class Encoder:
+    """Ranks, pattern and the one cache of words, built once per worker."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.tokens: dict = {}
-        self.cache = WordCache(self.encode_all)
-        most = max(self.ranks.values())
-        self.bytes_of = [b""] * (most + 1)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
+        self.cache = WordCache(self.encode_all, most_bytes=CACHE_BYTES)
 
     def _pre_token(self, piece: str) -> bytes:
-        known = self.tokens.get(piece)
-        if known is None:
-            data = piece.encode("utf-8")
-            rank = self.ranks.get(data)
-            ids = [rank] if rank is not None else merge_pairs(data, self.ranks)
-            known = array("I", ids).tobytes()
-            if len(piece) <= CACHED_CHARS:
-                if len(self.tokens) >= CACHE_SIZE:
-                    self.tokens = dict(islice(self.tokens.items(), CACHE_SIZE // 2))
-                self.tokens[piece] = known
-        return known
+        data = piece.encode("utf-8")
+        rank = self.ranks.get(data)
+        ids = [rank] if rank is not None else merge_pairs(data, self.ranks)
+        return array("I", ids).tobytes()
 
     def encode_all(self, strings):
-        return [b"".join(map(self._pre_token, self.pattern.findall(s))) for s in strings]
+        """Ids of each string; a pre-token that is a cached word is not merged again."""
+        known, met, out = self.cache.known, {}, []
+        for s in strings:
+            ids = []
+            for piece in self.pattern.findall(s):
+                own = known.get(piece) or met.get(piece)
+                if own is None:
+                    own = met[piece] = self._pre_token(piece)
+                ids.append(own)
+            out.append(b"".join(ids))
+            if len(met) > MET_SIZE:
+                met = {}
+        return out
+
+    def ids(self, column):
+        """Ids of a column of texts, about ``BATCH_BYTES`` of text at a time."""
+        for a, b in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
+            yield a, b, self.cache.ids(column.slice(a, b - a).to_pylist())
+
+
+class Decoder:
+    """The bytes of each id."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+def _kept(kind, *key):
+    if (kind, key) not in _workers:
+        _workers[kind, key] = kind(*key)
+    return _workers[kind, key]
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row per row.
 
-    A NULL or empty text has no ids. Texts are encoded whole, whatever their length;
-    control strings are ordinary text. A byte without a rank stops the job. Other
-    columns are ignored; an empty table gives no rows.
+    A NULL or empty text has no ids; a NULL doc_id stays NULL. Texts are encoded whole,
+    whatever their length; control strings are ordinary text. A byte without a rank stops
+    the job. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
-        own = coder(ranks_path, pattern)
+        own = _kept(Encoder, ranks_path, pattern)
         for batch in batches:
-            column, ids = batch.column("text"), []
-            for a, b in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
-                ids += own.cache.ids(column.slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())],
-                                             ["doc_id", "ids"])
+            for a, b, ids in own.ids(batch.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary())],
+                    ["doc_id", "ids"])
 
-    base = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return base.mapInArrow(run, "doc_id long, ids binary")
+    return _base(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Add ``decoded`` (binary): the bytes that the ids stand for."""
 
     def run(batches):
-        own = coder(ranks_path, pattern)
+        own = _kept(Decoder, ranks_path)
         for batch in batches:
-            data = [own.decode(v.as_buffer()) for v in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())],
-                                             [*batch.schema.names, "decoded"])
+            lengths = pc.binary_length(batch.column("ids")).to_pylist()
+            for a, b in slices(lengths, BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                data = [own.decode(v.as_buffer()) for v in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())],
+                                                 [*part.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` in one step, so one worker a task."""
+
+    def run(batches):
+        coder, back = _kept(Encoder, ranks_path, pattern), _kept(Decoder, ranks_path)
+        for batch in batches:
+            for a, b, ids in coder.ids(batch.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary()),
+                     pa.array([back.decode(v) for v in ids], pa.binary())],
+                    ["doc_id", "ids", "decoded"])
+
+    return _base(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -39,13 +39,33 @@ def _stem(word: str):
     return None
 
 
+#: Bytes that an entry takes besides its characters and ids: two objects and their place.
+ENTRY_BYTES = 200
+
+
+def cost(words) -> int:
+    """About the bytes that a dict of words and ids takes."""
+    return sum(ENTRY_BYTES + 2 * len(w) + len(v) for w, v in words.items())
+
+
 class WordCache:
-    """``encode`` turns a list of strings into a list of bytes (ids as little-endian uint32)."""
+    """``encode`` turns a list of strings into a list of bytes (ids as little-endian uint32).
+
+    The cache holds at most ``CACHE_SIZE`` words or, where ``most_bytes`` is given, as many as
+    fit in that many bytes.
+    """
 
-    def __init__(self, encode, whole=None):
+    def __init__(self, encode, whole=None, most_bytes=None):
         self.encode = encode
         self.whole = whole  # texts for which this says true are encoded whole
         self.known: dict = {}
+        self.most_bytes = most_bytes
+        self.bytes = 0
+
+    def _fits(self, words) -> bool:
+        if self.most_bytes is None:
+            return len(self.known) + len(words) <= CACHE_SIZE
+        return self.bytes + cost(words) <= self.most_bytes
 
     def ids(self, batch):
         """Ids of each text as bytes."""
@@ -68,16 +88,19 @@ class WordCache:
                 sign = w[-1]
                 found[w] = (found.get(stem) or known[stem]) + (found.get(sign) or known[sign])
             short = {w: v for w, v in found.items() if len(w) <= CACHED_CHARS}
-            if len(known) + len(short) <= CACHE_SIZE:
+            if self._fits(short):
                 known.update(short)
+                self.bytes += cost(short) if self.most_bytes else 0
                 fresh = {w: v for w, v in found.items() if len(w) > CACHED_CHARS}
             else:
                 # the words met first are the frequent ones: they stay, the later half goes,
                 # but for what this batch still needs
-                kept = dict(islice(known.items(), CACHE_SIZE // 2))
+                kept = dict(islice(known.items(), (len(known) if self.most_bytes
+                                                   else CACHE_SIZE) // 2))
                 fresh = {**found, **{w: known[w] for ws in split if ws for w in ws
                                      if w in known and w not in kept}}
                 self.known = known = kept
+                self.bytes = cost(kept) if self.most_bytes else 0
         whole = dict(zip(odd, self.encode([batch[i] for i in odd]))) if odd else {}
         for at, words in enumerate(split):
             if words is None:

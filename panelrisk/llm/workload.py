@@ -50,9 +50,9 @@ def op1_suffix_dedup(spark, sf_dir):
 
 @register
 def op8_byte_bpe(spark, sf_dir):
-    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
-    return byte_bpe.digest(byte_bpe.decode(ids, ranks, pattern))
+    return byte_bpe.digest(byte_bpe.round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN))
 
 
 @register

@@ -446,13 +446,28 @@ def test_byte_bpe(spark, texts):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = texts + [(i + 10_000, t) for i, t in fuzzed()] + ODD + [(-7, "ab" * 20_000)]
     ids = byte_bpe.encode(clashing(frame(spark, rows)), path, P.PATTERN)
-    got = byte_bpe.digest(byte_bpe.decode(ids, path, P.PATTERN))
+    got = byte_bpe.digest(byte_bpe.decode(ids, path))
     want = []
     for i, t in rows:
         x = library.encode_ordinary(t or "")
         want.append((i, len(x), sha(struct.pack(f"<{len(x)}I", *x)), sha(t or "")))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    both = byte_bpe.digest(byte_bpe.round_trip(clashing(frame(spark, rows)), path, P.PATTERN))
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(want, key=str)
     assert byte_bpe.encode(frame(spark, []), path, P.PATTERN).count() == 0
+    assert byte_bpe.round_trip(frame(spark, []), path, P.PATTERN).count() == 0
+
+
+def test_full_word_cache_gives_the_same_ids():
+    from panelrisk.llm.word_cache import WordCache
+
+    words = [f"w{i}" for i in range(400)]
+    plain = WordCache(lambda many: [w.encode() for w in many])
+    small = WordCache(lambda many: [w.encode() for w in many], most_bytes=20_000)
+    for i in range(0, 400, 7):
+        batch = [" ".join(words[i:i + 60]), "w1 w2 w3."]
+        assert small.ids(batch) == plain.ids(batch)
+        assert small.bytes <= 20_000
 
 
 def test_segment_tree_merges_leftmost_lowest_rank():
