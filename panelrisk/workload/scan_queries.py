@@ -336,7 +336,8 @@ def week_parsing(spark, sf):
  ORDER BY event_date, event_key LIMIT 100""")
 def entity_extract(spark, sf):
     return entities.entity_events(nation_events(spark, sf), "NATION_7", columns=[
-        "event_date", "event_type", "fatalities", "event_key"], order=["event_date", "event_key"])
+        "event_date", "event_type", "fatalities", "event_key"],
+        order=["event_date", "event_key"], top=100)
 
 
 @query("entity_extract_count", with_cte(EVENTS) + """SELECT COUNT(*) AS rows FROM nation_events
