@@ -6,7 +6,7 @@ import public_tokenizers
 
 from panelrisk.llm import (byte_bpe, chat_format, line_dedup, packing, quality_rules,
                            simhash_groups, spot_signatures, suffix_dedup,
-                           token_counts, toxicity)
+                           token_counts, toxicity, turn_repair)
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -81,3 +81,9 @@ def op5_spot_signatures(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"),
                                    table(spark, sf_dir, "labels"))
+
+
+@register
+def op11_turn_repair(spark, sf_dir):
+    rows, dropped = turn_repair.damage(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(rows, dropped).drop("turns")
