@@ -6,7 +6,7 @@ import public_tokenizers
 
 from panelrisk.llm import (byte_bpe, chat_format, line_dedup, packing, quality_rules,
                            simhash_groups, spot_signatures, suffix_dedup,
-                           token_counts, toxicity, turn_repair)
+                           token_counts, toxicity, turn_repair, url_rules)
 from panelrisk.llm.tables import table
 
 QUERIES: dict = {}
@@ -87,3 +87,12 @@ def op4_toxicity(spark, sf_dir):
 def op11_turn_repair(spark, sf_dir):
     rows, dropped = turn_repair.damage(table(spark, sf_dir, "conversations"))
     return turn_repair.repair(rows, dropped).drop("turns")
+
+
+@register
+def op12_url_rules(spark, sf_dir):
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op12_url_rules"] = url_rules.ORACLE

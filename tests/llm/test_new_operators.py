@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from panelrisk.llm import turn_repair
+from panelrisk.llm import turn_repair, url_rules
 from panelrisk.llm.workload import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -184,3 +184,70 @@ def test_turn_repair_shuffles_texts_once(spark, sf):
 
     left, _ = turn_repair.damage(spark.read.parquet(f"{sf}/conversations.parquet"))
     assert plan_of(turn_repair.repair(left)).count("Exchange") == 1
+
+
+# --- 12 URL rules ----------------------------------------------------------------------------
+
+def judged(urls, rules, otherwise="allow"):
+    out = []
+    for page, url in urls:
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = found.groups() if found else ("", "")
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fit = []
+        for rhost, rpath, verdict in rules:
+            rhost = "".join(c.lower() if c.isascii() else c for c in rhost or "")
+            rpath = rpath or ""
+            if rhost and verdict in ("allow", "block") and path.startswith(rpath) \
+                    and (host == rhost or host.endswith("." + rhost)):
+                fit.append((len(rhost + rpath), len(rhost), verdict, rhost + rpath))
+        best = max(fit) if fit else (0, 0, otherwise, None)
+        out.append((page, host, path, best[3], best[2]))
+    return out
+
+
+URLS = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "http:///x"), (6, "://net/a"),
+        (7, "HTTP://Example.NET/EN/"), (8, "http://example.net"), (9, "http://example.net?q=/en/"),
+        (10, "http://example.net#/en/"), (11, "http://sub.example.net/en/x?y#z"),
+        (12, "http://myexample.com/de/1"), (13, "http://a..example.com/de/1"),
+        (14, "http://.net/a"), (15, "http://net./a"), (16, "http://u@net:80/a"),
+        (17, "http://x.net/a://b.org/fr/"), (18, "http://é.ÉX.org/fr/\U0010ffff"),
+        (19, "http://a.net/\nb"), (20, "http://same.org/fr/"), (20, "http://same.org/fr/"),
+        (None, "http://same.org/fr/"), (None, None), (None, None), (21, "http://org/fr/" + "x" * 90_000)]
+
+
+@pytest.mark.parametrize("slices", [1, 3, 40])
+def test_url_rules(spark, slices):
+    rnd = random.Random(slices)
+    labels = ["a", "b", "net", "org", "A", ""]
+    rules = [*url_rules.RULES, ("NET", None, "allow"), (None, "/", "block"), ("", "/", "block"),
+             ("b", "/a", "perhaps"), ("b", "x", "block"), ("a.b", "", "block"), ("b", "/aa", "allow")]
+    rules += [(".".join(rnd.choices(labels, k=rnd.randint(1, 3))),
+               "/" + "/".join(rnd.choices("ab", k=rnd.randint(0, 3))),
+               rnd.choice(["allow", "block"])) for _ in range(80)]
+    urls = URLS + [(100 + i, "s://" + ".".join(rnd.choices(labels, k=rnd.randint(1, 5))) + "/"
+                    + "/".join(rnd.choices("ab", k=rnd.randint(0, 4)))) for i in range(1500)]
+    urls += [(5_000, "http://hot.net/a")] * 700
+    pages = spark.createDataFrame([(p, u, "h", "k", 0) for p, u in urls],
+                                  "page_id long, url string, host string, key string, slice int")
+    got = url_rules.judge(pages, spark.createDataFrame(
+        rules, "host string, path string, verdict string"), slices=slices)
+    same(got.collect(), judged(urls, rules))
+
+
+def test_url_rules_without_rows(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    no_rules = spark.createDataFrame([], "host string, path string, verdict string")
+    rules = spark.createDataFrame(url_rules.RULES, no_rules.schema)
+    pages = spark.createDataFrame(URLS, none.schema)
+    assert url_rules.judge(none, rules).count() == 0
+    same(url_rules.judge(pages, no_rules, otherwise="block").collect(), judged(URLS, [], "block"))
+
+
+def test_repeated_rows_come_back_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "REPEATS", 4)
+    rows = [(1, "http://x.net/")] * 9 + [(2, None)] * 8
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"),
+                          spark.createDataFrame(url_rules.RULES,
+                                                "host string, path string, verdict string"))
+    same(got.collect(), judged(rows, url_rules.RULES))
