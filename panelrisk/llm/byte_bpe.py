@@ -25,7 +25,7 @@ from panelrisk.llm.word_cache import WordCache
 BATCH_BYTES = 1 << 20
 
 #: Bytes of cached words in a worker, and pre-tokens remembered within one call besides.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 192 << 20
 MET_SIZE = 50_000
 
 _workers: dict = {}
