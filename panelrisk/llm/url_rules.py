@@ -188,15 +188,9 @@ RULES = [("net", "/", BLOCK), ("example.net", "/en/", ALLOW), ("example.com", "/
          ("org", "/fr/", ALLOW)]
 
 ORACLE = f"""WITH parts AS (
-<<<<<<< Updated upstream
   SELECT page_id, strpos(coalesce(url, ''), '://') AS mark, coalesce(url, '') AS url FROM pages),
 rests AS (
   SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM parts),
-=======
-  SELECT page_id, strpos(coalesce(url, ''), '://') AS at, coalesce(url, '') AS url FROM pages),
-rests AS (
-  SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM parts),
->>>>>>> Stashed changes
 named AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
