@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from panelrisk.llm import (byte_bpe, chat_format, line_dedup, packing, quality_rules,
-                           simhash_groups, spot_signatures, suffix_dedup,
+                           simhash_groups, spot_signatures, suffix_dedup, token_align,
                            token_counts, toxicity, turn_repair, url_rules)
 from panelrisk.llm.tables import table
 
@@ -96,3 +96,10 @@ def op12_url_rules(spark, sf_dir):
 
 
 ORACLES["op12_url_rules"] = url_rules.ORACLE
+
+
+@register
+def op13_token_align(spark, sf_dir):
+    return token_align.digest(table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"))

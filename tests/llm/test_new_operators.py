@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 
+import numpy as np
+import public_tokenizers as P
 import pytest
 
-from panelrisk.llm import turn_repair, url_rules
+from panelrisk.llm import token_align, turn_repair, url_rules
 from panelrisk.llm.workload import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -251,3 +253,127 @@ def test_repeated_rows_come_back_in_steps(spark, monkeypatch):
                           spark.createDataFrame(url_rules.RULES,
                                                 "host string, path string, verdict string"))
     same(got.collect(), judged(rows, url_rules.RULES))
+
+
+# --- 13 token alignment ------------------------------------------------------------------------
+
+A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A_PATH)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+
+
+def tokens_of(tokenizers, text):
+    """[(id, bytes)] of both tokenizers, or nothing where they do not give the bytes back."""
+    a, b = tokenizers
+    if not text:
+        return [], []
+    back = token_align.byte_level()
+    left = [(i, bytes(back[c] for c in a.id_to_token(i)))
+            for i in a.encode(" " + text, add_special_tokens=False).ids]
+    right = []
+    for i in b.encode(text):
+        piece = b.id_to_piece(i)
+        byte = re.fullmatch("<0x(..)>", piece)
+        right.append((i, bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()))
+    given = b" " + text.encode()
+    if any(b"".join(x for _, x in side) != given for side in (left, right)):
+        return [], []
+    return left, right
+
+
+def groups_of(left, right):
+    def ends(side):
+        return list(itertools.accumulate(len(x) for _, x in side))
+
+    shared = sorted(set(ends(left)) & set(ends(right)))
+    out = [([], []) for _ in shared]
+    for k, side in enumerate((left, right)):
+        for (i, _), end in zip(side, ends(side)):
+            out[next(n for n, s in enumerate(shared) if end <= s)][k].append(i)
+    return out
+
+
+def aligned(tokenizers, rows):
+    documents = []
+    for doc, text in rows:
+        left, right = tokens_of(tokenizers, text)
+        groups = groups_of(left, right)
+        documents.append((doc, left, right, groups,
+                          [p for a, b in groups for p in itertools.product(a, b)]))
+    held = collections.Counter(p for *_, links in documents for p in set(links))
+    most = collections.defaultdict(int)
+    for (a, _), n in held.items():
+        most[a] = max(most[a], n)
+    out = []
+    for doc, left, right, groups, links in documents:
+        spelled = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        out.append((doc, len(left), len(right), len(groups), len(links),
+                    sum(held[p] == most[p[0]] for p in links), sum(held[p] for p in links),
+                    sha(spelled) if left else ""))
+    return out
+
+
+PIECES = ["a", "b", " ", "  ", "'s", "\n", "\t", "é", "the", "<|endoftext|>", "\x00", "　", "ﬁ", "😀",
+          "́", "1", "?!", "\x1c", "\r\n", "▁", "<s>", "<0x0A>", "word ", " word", "漢字", " é"]
+
+
+def odd_texts(n=500):
+    rnd = random.Random(13)
+    rows = [(i, "".join(rnd.choices(PIECES, k=rnd.randint(0, 14)))) for i in range(n)]
+    rows += [(None, "no id"), (1, None), (2, ""), (3, " "), (4, "twice"), (4, "twice"),
+             (5, "x" * 3_000), (6, "漢" * 400), (7, "many words " * 300)]
+    return rows
+
+
+def clashed(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", 2) for r in rows],
+                                 "doc_id long, text string, row int, pairs string, n int")
+
+
+def test_token_align(spark, sf, tokenizers):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet")
+            .select("doc_id", "text").limit(40).collect() if len(r.text) < 3_000] + odd_texts()
+    want = aligned(tokenizers, rows)
+    same(token_align.digest(clashed(spark, rows), A_PATH, B_PATH).collect(), want)
+    linked = token_align.pin(token_align.links(token_align.align(
+        clashed(spark, rows), A_PATH, B_PATH)).withColumn(
+            "row", token_align.F.monotonically_increasing_id()))
+    for pairs in (0, 50):  # no pair, or a few, in the broadcast tier
+        got = token_align.score_links(linked, pairs).select(
+            "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+        same(got.collect(), want)
+
+
+def test_token_align_of_nothing(spark):
+    assert token_align.digest(clashed(spark, []), A_PATH, B_PATH).count() == 0
+    got = token_align.digest(clashed(spark, [(1, ""), (2, None)]), A_PATH, B_PATH).collect()
+    same(got, [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")])
+
+
+def test_wide_groups_pair_distinct_ids(monkeypatch):
+    rnd = np.random.default_rng(3)
+    in_a, in_b = rnd.integers(1, 9, 30), rnd.integers(1, 9, 30)
+    a, b = rnd.integers(0, 4, in_a.sum()), rnd.integers(0, 4, in_b.sum())
+    text = np.sort(rnd.integers(0, 5, 30))
+    whole = token_align.pair_links(a, b, in_a, in_b, text)
+    monkeypatch.setattr(token_align, "WIDE_LINKS", 6)
+    for x, y in zip(whole, token_align.pair_links(a, b, in_a, in_b, text)):
+        assert x.tolist() == y.tolist()
+
+
+def test_full_cache_gives_the_same_ids(monkeypatch):
+    own = token_align.Aligner(A_PATH, B_PATH)
+    batches = [[f"word{i + k} again word{i} é" for k in range(40)] for i in range(0, 200, 9)]
+    whole = [own.ids(b) for b in batches]
+    monkeypatch.setattr(token_align, "CACHE_BYTES", 30_000)
+    small = token_align.Aligner(A_PATH, B_PATH)
+    assert [small.ids(b) for b in batches] == whole
+    assert small.bytes <= 30_000
