@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from panelrisk.llm.word_cache import CACHED_CHARS, ENTRY_BYTES
 from panelrisk.session import pin
 
 #: Text bytes handled at a time, and bytes of cached words in a worker.
-BATCH_BYTES = 1 << 20
-CACHE_BYTES = 192 << 20
+BATCH_BYTES = 1 << 19
+CACHE_BYTES = 96 << 20
 #: Links of a group beyond which its ids are made distinct before they are paired.
 WIDE_LINKS = 1 << 16
 #: Most pairs in the broadcast tier of counts.
@@ -85,17 +87,28 @@ class Aligner:
             ids = one.ids
             fits = b"".join(map(self.a_bytes.__getitem__, ids)) == given \
                 and b"".join(map(self.b_bytes.__getitem__, two)) == given
-            out.append((np.array(ids, "<u4").tobytes(), np.array(two, "<u4").tobytes(), fits))
+            out.append((array("I", ids).tobytes(), array("I", two).tobytes(), fits))
         return out
 
+    @staticmethod
+    def _cost(words):
+        return sum(2 * ENTRY_BYTES + 2 * len(w) + len(v[0]) + len(v[1]) for w, v in words.items())
+
     def _learn(self, words):
-        found = dict(zip(words, self._both(words))) if words else {}
+        """What new words give; those that are short are kept.
+
+        The words met first are the frequent ones: when the cache is full they stay, and the later
+        half goes.
+        """
+        found = dict(zip(words, self._both(words)))
         short = {w: v for w, v in found.items() if len(w) <= CACHED_CHARS}
-        size = sum(2 * ENTRY_BYTES + 2 * len(w) + len(v[0]) + len(v[1]) for w, v in short.items())
+        size = self._cost(short)
         if self.bytes + size > CACHE_BYTES:
-            self.known, self.bytes = {}, 0
-        self.known.update(short)
-        self.bytes += size
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.bytes = self._cost(self.known)
+        if self.bytes + size <= CACHE_BYTES:
+            self.known.update(short)
+            self.bytes += size
         return found
 
     def ids(self, batch):
@@ -108,9 +121,10 @@ class Aligner:
                  and t[0] != " " and t[-1] != " " else None for t in batch]
         seen = self.known
         missing = {w for ws in split if ws for w in ws if w not in seen}
-        held = {w: seen[w] for ws in split if ws for w in ws if w in seen} \
-            if missing and self.bytes + 4 * ENTRY_BYTES * len(missing) > CACHE_BYTES else {}
-        found = {**held, **self._learn(list(missing))} if missing else {}
+        found = self._learn(list(missing)) if missing else {}
+        if self.known is not seen:  # some words that this batch needs have just gone
+            found.update((w, seen[w]) for ws in split if ws for w in ws
+                         if w in seen and w not in found)
         seen = self.known
         out = []
         for t, ws in zip(batch, split):
@@ -163,32 +177,35 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     tokens and groups. Texts of any length are encoded whole. Other columns are ignored; an
     empty table gives no rows.
     """
-    names = [c.split()[0] for c in ALIGNED.split(", ")]
+    return _base(docs).mapInArrow(lambda batches: _aligned(batches, a_path, b_path), ALIGNED)
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
 
-    def run(batches):
-        if (a_path, b_path) not in _workers:
-            _workers[a_path, b_path] = Aligner(a_path, b_path)
-        own = _workers[a_path, b_path]
-        for batch in batches:
-            column = batch.column("text")
-            for lo, hi in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
-                pairs = own.ids(column.slice(lo, hi - lo).to_pylist())
-                n_a = np.array([len(a) // 4 for a, _ in pairs])
-                n_b = np.array([len(b) // 4 for _, b in pairs])
-                a = np.frombuffer(b"".join([a for a, _ in pairs]), "<u4")
-                b = np.frombuffer(b"".join([b for _, b in pairs]), "<u4")
-                in_a, in_b = coalesce(own.a_sizes[a], own.b_sizes[b])
-                # a group lies in one text: the text of its first token
-                text = np.repeat(np.arange(len(pairs)), n_a)
-                first = np.cumsum(in_a) - in_a
-                groups = np.bincount(text[first], minlength=len(pairs))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), _lists(a, n_a, np.int32),
-                     _lists(b, n_b, np.int32), _lists(in_a, groups, np.int32),
-                     _lists(in_b, groups, np.int32)], names)
-
-    base = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return base.mapInArrow(run, ALIGNED)
+
+def _aligned(batches, a_path, b_path):
+    names = [c.split()[0] for c in ALIGNED.split(", ")]
+    if (a_path, b_path) not in _workers:
+        _workers[a_path, b_path] = Aligner(a_path, b_path)
+    own = _workers[a_path, b_path]
+    for batch in batches:
+        column = batch.column("text")
+        for lo, hi in slices(pc.binary_length(column).to_pylist(), BATCH_BYTES):
+            pairs = own.ids(column.slice(lo, hi - lo).to_pylist())
+            n_a = np.array([len(a) // 4 for a, _ in pairs])
+            n_b = np.array([len(b) // 4 for _, b in pairs])
+            a = np.frombuffer(b"".join([a for a, _ in pairs]), "<u4")
+            b = np.frombuffer(b"".join([b for _, b in pairs]), "<u4")
+            in_a, in_b = coalesce(own.a_sizes[a], own.b_sizes[b])
+            # a group lies in one text: the text of its first token
+            text = np.repeat(np.arange(len(pairs)), n_a)
+            first = np.cumsum(in_a) - in_a
+            groups = np.bincount(text[first], minlength=len(pairs))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(lo, hi - lo), _lists(a, n_a, np.int32),
+                 _lists(b, n_b, np.int32), _lists(in_a, groups, np.int32),
+                 _lists(in_b, groups, np.int32)], names)
 
 
 def _numbers(column):
@@ -261,31 +278,36 @@ def links(aligned: DataFrame) -> DataFrame:
     is; groups are spelled ``a1,a2|b1;a3|b2,b3`` for the digest, which is empty without
     tokens.
     """
-    names = [c.split()[0] for c in LINKED.split(", ")]
+    return aligned.mapInArrow(_linked, LINKED)
 
-    def run(batches):
-        speller = _Speller()
-        for batch in batches:
-            a, n_a = _numbers(batch.column("a"))
-            b, n_b = _numbers(batch.column("b"))
-            in_a, groups = _numbers(batch.column("in_a"))
-            in_b, _ = _numbers(batch.column("in_b"))
-            rows = batch.num_rows
-            text = np.repeat(np.arange(rows), groups)
-            own, pairs, times = pair_links(a, b, in_a, in_b, text)
-            n_links = np.bincount(own, weights=times, minlength=rows).astype(np.int64)
-            pieces, digests, at = speller.pieces(a, b, in_a, in_b), [], 0
-            for size in (n_a + n_b).tolist():
-                spelled = "".join(pieces[at:at + size])[:-1]
-                digests.append(hashlib.sha256(spelled.encode()).hexdigest() if size else "")
-                at += size
-            held = np.bincount(own, minlength=rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in (
-                    n_a, n_b, groups, n_links)), pa.array(digests, pa.string()),
-                 _lists(pairs, held, np.int64), _lists(times, held, np.int64)], names)
 
-    return aligned.mapInArrow(run, LINKED)
+def _linked(batches):
+    names = [c.split()[0] for c in LINKED.split(", ")]
+    speller = _Speller()
+    for batch in batches:
+        a, n_a = _numbers(batch.column("a"))
+        b, n_b = _numbers(batch.column("b"))
+        in_a, groups = _numbers(batch.column("in_a"))
+        in_b, _ = _numbers(batch.column("in_b"))
+        rows = batch.num_rows
+        own, pairs, times = pair_links(a, b, in_a, in_b, np.repeat(np.arange(rows), groups))
+        n_links = np.bincount(own, weights=times, minlength=rows).astype(np.int64)
+        pieces, digests, at = speller.pieces(a, b, in_a, in_b), [], 0
+        for size in (n_a + n_b).tolist():
+            spelled = "".join(pieces[at:at + size])[:-1]
+            digests.append(hashlib.sha256(spelled.encode()).hexdigest() if size else "")
+            at += size
+        held = np.bincount(own, minlength=rows)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(n, pa.int64()) for n in (
+                n_a, n_b, groups, n_links)), pa.array(digests, pa.string()),
+             _lists(pairs, held, np.int64), _lists(times, held, np.int64)], names)
+
+
+def align_and_link(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """``links`` of ``align`` in one step, so that a task has one Python worker."""
+    return _base(docs).mapInArrow(lambda batches: _linked(_aligned(batches, a_path, b_path)),
+                                  LINKED)
 
 
 def link_counts(linked: DataFrame) -> DataFrame:
@@ -331,7 +353,7 @@ def score_links(linked: DataFrame, tier_pairs: int = TIER_PAIRS) -> DataFrame:
 
 def digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document: counts of tokens, groups and links, and how common the links are."""
-    linked = pin(links(align(docs, a_path, b_path))
+    linked = pin(align_and_link(docs, a_path, b_path)
                  .withColumn("row", F.monotonically_increasing_id()))
     return score_links(linked).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best",
                                       "count_sum", "groups_sha256")
