@@ -76,11 +76,15 @@ def owned_pins(spark: SparkSession):
         yield mine
     finally:
         _owned.remove(mine)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in mine:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str):
+    """Delete a table that this library has written below the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)
 
 
 def pin(df: DataFrame) -> DataFrame:
