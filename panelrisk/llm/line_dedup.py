@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import WHITE, texts
+from panelrisk.llm.tables import WHITE, packed, texts
+from panelrisk.session import pin
+
+#: A line that makes up at least this part of all long lines is looked up without a shuffle.
+HOT_PARTS = 1000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,12 +53,19 @@ def dropped_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     ``th`` is the hash of the text, so that rows sharing a doc_id but not a text
     keep their positions apart.
     """
-    seen = _occurrences(texts(docs).withColumn("th", F.xxhash64("text")), min_chars)
-    per_doc = seen.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    frequent = per_doc.groupBy("h1", "h2") \
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")) \
-        .filter(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    lost = seen.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    keys = ["h1", "h2"]
+    seen = pin(_occurrences(texts(docs).withColumn("th", F.xxhash64("text")), min_chars))
+    frequent = pin(
+        seen.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"),
+                            F.max("doc_id").alias("keeper"))
+        .filter(F.col("docs") >= min_docs).select(*keys, "n", "keeper"))
+    # no more than HOT_PARTS keys can have so many of the rows; the others have fewer each
+    is_hot = F.col("n") * HOT_PARTS >= seen.count()
+    hot = F.broadcast(frequent.filter(is_hot))
+    lost = seen.join(hot, keys).unionByName(
+        seen.join(hot, keys, "left_anti").join(frequent.filter(~is_hot), keys)) \
+        .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -63,8 +74,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     A NULL or empty text is one empty line. Rows that repeat a doc_id count as one
     document and lose the same lines. Documents without a doc_id count as one
-    document and lose their frequent lines if any other document has them. Columns
-    of the input named like the new ones are replaced. An empty table gives no rows.
+    document and lose their frequent lines if any other document has them. Texts of any length
+    are taken whole. Columns of the input named like the new ones are replaced. An empty table
+    gives no rows.
     """
     new = ["n_lines", "n_dropped", "kept_text"]
     drop = dropped_positions(docs, min_chars, min_docs) \
@@ -86,11 +98,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, all other columns as they are; n_chars anew."""
-    new = {"text": F.col("kept_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("kept_text").cast("long")
-    return dedup_lines(docs, min_chars, min_docs).withColumns(new).select(*docs.columns)
+    """``docs`` with the kept lines as ``text``, all other columns as they are; n_chars anew.
+
+    NULL and empty texts, repeated ids and rows, very long texts and empty tables are as in
+    ``dedup_lines``; a NULL text becomes the empty text. Columns of any name are carried.
+    """
+    base, back = packed(docs)
+    return back(dedup_lines(base, min_chars, min_docs), "kept_text")
 
 
 def digest(result: DataFrame) -> DataFrame:
