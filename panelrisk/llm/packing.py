@@ -161,3 +161,18 @@ def packed_digest(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) ->
     parts = pieces(docs, tokenizer_path, capacity=capacity) \
         .withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(parts, capacity)
+
+
+def packed_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2,
+                  capacity: int = 1024) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset): tokens ready for training.
+
+    ``ids`` are little-endian unsigned 32-bit. The pieces are written once; the plan is made over
+    (row, length) alone and joined to them, so ids move once. NULL and empty texts are one
+    piece of ``end_id``; repeated rows and missing doc_ids are documents of their own; other
+    columns are left out. An empty table gives no rows.
+    """
+    rows = pin(pieces(docs, tokenizer_path, end_id, capacity)
+               .withColumn("row", F.monotonically_increasing_id()))
+    places = pack(rows.select("row", "length"), capacity).drop("length")
+    return rows.join(places, "row").drop("row")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import WHITE
+from panelrisk.llm.tables import WHITE, packed
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 50_000
@@ -112,10 +112,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     dense = every.join(counts, "b", "left").select(
         "b", F.coalesce("t", F.lit(0)).cast("double").alias("t"),
         (F.coalesce("r", F.lit(0)) + 1.0).alias("r"))
-    packed = dense.agg(F.sort_array(F.collect_list(F.struct("b", "t", "r"))).alias("c"),
+    tallies = dense.agg(F.sort_array(F.collect_list(F.struct("b", "t", "r"))).alias("c"),
                        F.sum("t").alias("nt"), F.sum("r").alias("nr"))
     size = F.lit(float(buckets))
-    return packed.select(F.transform("c", lambda x: F.log(
+    return tallies.select(F.transform("c", lambda x: F.log(
         (x["t"] * F.col("nr") / x["r"] + size) / (F.col("nt") + size))).alias("ratios"))
 
 
@@ -132,25 +132,40 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "base_failed", "llr", "kept"]
-    ratios = log_ratios(docs, labels, buckets, trusted_rows).scalar()
     plain = docs.drop(*new, "_text", "_words", "_h", "_g", "_s", "_at", "_lines", "_t", "_p", "_r")
+    return _once(_judged(plain, log_ratios(docs, labels, buckets, trusted_rows), buckets,
+                         threshold))
+
+
+def _judged(plain: DataFrame, ratios: DataFrame, buckets, threshold) -> DataFrame:
     base = base_measures(plain.withColumn("_text", F.coalesce("text", F.lit(""))))
     tokens, zipped = _pairs(F.col("_text"))
     paired = base.withColumn("_t", tokens).withColumn("_p", zipped(F.col("_t"))) \
-        .withColumn("_r", ratios)
+        .withColumn("_r", ratios.scalar())
     total = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc
                         + F.get("_r", _bucket(buckets, x["a"]))
                         + F.when(x["b"].isNull(), F.lit(0.0))
                         .otherwise(F.get("_r", _bucket(buckets, x["a"], x["b"]))))
     m = F.size("_t") * 2 - 1
-    judged = paired.withColumn("llr", F.when(m > 0, total / m).otherwise(F.lit(0.0))) \
+    return paired.withColumn("llr", F.when(m > 0, total / m).otherwise(F.lit(0.0))) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)) \
         .drop("_text", "_t", "_p", "_r")
-    # a generator of one row: filters on the result stay above it, where the measures are done
-    # once, instead of being moved down with a copy of each measure for every use
+
+
+def _once(judged: DataFrame) -> DataFrame:
+    """A generator of one row: filters on the result stay above it, where the measures are done
+    once, instead of being moved down with a copy of each measure for every use."""
     return judged.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in judged.columns]))))
 
 
-def passing(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return score_quality(docs, labels, **options).filter("kept").select(*docs.columns)
+def passing(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
+            threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names.
+
+    NULL, empty and very long texts, repeated rows and NULLs in the labels are as in
+    ``score_quality``; NULL and empty texts are below the base rule and go. Only the measures that
+    decide are worked out. An empty table gives no rows.
+    """
+    base, back = packed(docs)
+    judged = _judged(base, log_ratios(docs, labels, buckets, trusted_rows), buckets, threshold)
+    return back(_once(judged.select("text", "carried", "kept")).filter("kept"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import shuffle_width, texts, with_row_ids
+from panelrisk.llm.tables import packed, shuffle_width, texts, with_row_ids
 from panelrisk.session import pin
 
 BITS = 64
@@ -278,15 +278,18 @@ def one_of_each(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:
 
     First is the smallest doc_id and, where rows share it, the smallest text; rows are told
     apart by a row id. Rows that repeat both doc_id and text are one document and leave one
-    row; rows without a doc_id are groups of their own and stay, repeated or not.
+    row; rows without a doc_id are groups of their own and stay, repeated or not. NULL, empty and
+    very long texts are as in ``simhash_groups``: all texts without words are near copies of each
+    other. Columns of any name are carried; an empty table gives no rows.
     """
-    known, nameless = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    base, back = packed(docs)
+    known, nameless = base.filter("doc_id IS NOT NULL"), base.filter("doc_id IS NULL")
     twice = known.groupBy("doc_id").count().filter("count > 1")
     if twice.isEmpty():
-        rows = known.withColumn("_row", F.col("doc_id").cast("long"))
+        rows = known.withColumn("row", F.col("doc_id").cast("long"))
     else:
-        rows = with_row_ids(known.dropDuplicates(["doc_id", "text"]), "_row")
-    groups = simhash_groups(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, k)
+        rows = with_row_ids(known.dropDuplicates(["doc_id", "text"]), "row")
+    groups = simhash_groups(rows.select(F.col("row").alias("doc_id"), "text"), shingle, k)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(nameless)
+        F.col("doc_id").alias("row"))
+    return back(rows.join(kept, "row", "left_semi").drop("row").unionByName(nameless))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelrisk.llm.tables import shuffle_width, slices, texts, unique_ids, with_row_ids
+from panelrisk.llm.tables import packed, shuffle_width, slices, texts, unique_ids, with_row_ids
 
 #: Bytes that an anchor's hash covers; windows of ``span`` bytes choose among span - K + 1 anchors.
 K = 32
@@ -574,16 +574,14 @@ def without_repeats(docs: DataFrame, span: int = 100) -> DataFrame:
 
     One row per row of ``docs``, in the order of ``suffix_dedup``; the other columns are
     joined by a row id, so doc_id may be NULL or repeat. A character that loses some of its
-    bytes goes whole; n_chars, if there, is counted anew.
+    bytes goes whole; n_chars, if there, is counted anew. A NULL text becomes the empty text;
+    very long texts are cut whole. Columns of any name are carried; an empty table gives no rows.
     """
-    rows = with_row_ids(docs, "_row")
-    kept = _cut_texts(texts(rows, "_row"), span, as_text=True).select(
-        F.col("doc_id").alias("_row"), F.col("kept").alias("_kept"))
-    joined = rows.drop("text", "_kept").join(kept, "_row")
-    new = {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("_kept").cast("long")
-    return joined.withColumns(new).select(*docs.columns)
+    base, back = packed(docs)
+    rows = with_row_ids(base, "row")
+    kept = _cut_texts(texts(rows, "row"), span, as_text=True).select(
+        F.col("doc_id").alias("row"), "kept")
+    return back(rows.drop("text").join(kept, "row"), "kept")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -40,6 +40,26 @@ def slices(lengths, limit):
         yield start, len(lengths)
 
 
+def packed(docs: DataFrame):
+    """``docs`` as (doc_id, text, carried), and the way back from such rows to its own columns.
+
+    All other columns travel in one struct, so an operator's own names can never meet theirs.
+    The way back takes the new text (a column or name) and counts ``n_chars`` anew if it changed.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    base = docs.select("doc_id", "text",
+                       F.struct(*[F.col(f"`{c}`") for c in others]).alias("carried"))
+
+    def back(df: DataFrame, text="text"):
+        new = {"text": F.col(text)}
+        if text != "text" and "n_chars" in others:
+            new["n_chars"] = F.char_length(text).cast("long")
+        return df.select(*[new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c)
+                           for c in docs.columns])
+
+    return base, back
+
+
 _NO_ID = -(1 << 63)
 
 

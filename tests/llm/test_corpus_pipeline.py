@@ -2,7 +2,6 @@
 
 import collections
 import struct
-import zlib
 
 import public_tokenizers as P
 
@@ -58,11 +57,19 @@ def test_stages_and_run(spark, sf, tmp_path):
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [2]
         for r in pieces[i]:
             own = ids[r.start:r.start + r.length]
-            assert zlib.crc32(struct.pack(f"<{len(own)}I", *own)) == r.ids_crc32
+            assert struct.pack(f"<{len(own)}I", *own) == bytes(r.ids)
         assert sum(r.length for r in pieces[i]) == len(ids)
+    places = collections.defaultdict(list)
+    for own in pieces.values():
+        for r in own:
+            places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():  # without gaps from 0, and no longer than a sequence
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k])
+                                               for k in range(len(own))]
+        assert sum(n for _, n in own) <= 1024
 
     whole = corpus_pipeline.run(spark, sf)
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cols = ["doc_id", "piece", "start", "length", "ids"]
     assert sorted(whole.select(*cols).collect()) == sorted(docs.select(*cols).collect())
 
 
@@ -104,6 +111,41 @@ def test_pipeline_on_missing_and_repeated_ids(spark, tmp_path):
                            (3, "en", "s4")))
     heads = [str(r.doc_id) for r in docs.filter("piece = 0").collect()]
     assert sorted(heads) == ["3", "7", "7", "None", "None"]
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    columns = ["doc_id", "piece", "start", "length", "ids"]
     whole = corpus_pipeline.run(spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(str, whole)) == sorted(map(str, docs.select(*columns).collect()))
+
+
+CLASHES = ["_row", "_kept", "kept", "llr", "_text", "_t", "_lines", "_d", "_drop", "n_lines",
+           "kept_text", "_words", "_h", "_g", "_s", "_at", "_p", "_r", "carried", "row", "fp",
+           "component_id", "spans", "n_words", "h1", "th", "drop", "id", "given", "_id", "b", "hit"]
+
+
+def test_stages_carry_columns_of_any_name(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " \
+        + ", ".join(f"`{c}` int" for c in CLASHES)
+    docs = spark.createDataFrame([(*r, *(r.doc_id * 100 + k for k in range(len(CLASHES))))
+                                  for r in rows], ddl)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        found = got.collect()
+        assert found and all(tuple(r)[5:] == tuple(r.doc_id * 100 + k for k in range(len(CLASHES)))
+                             for r in found), name
+        assert sorted(map(str, got.select(*plain.columns).collect())) \
+            == sorted(map(str, stage(spark, plain, sf).collect())), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).columns == [
+        "doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+
+
+def test_run_leaves_the_last_copy_only(spark, sf):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("sequences-")
+    assert got.count() > 0
