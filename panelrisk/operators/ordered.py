@@ -98,6 +98,30 @@ def global_index(df: DataFrame, order, out="row_index", slices=None) -> DataFram
         .drop(SLICE, "_id", "_off_n", "_in_n", "n_total")
 
 
+def cut_keys(df: DataFrame, order, wanted) -> DataFrame:
+    """Key columns of the rows at wanted positions of a global order.
+
+    ``wanted(position, total)`` is a condition. Only the key columns are put in order, so
+    the rows themselves stay where they are. ``order`` names columns, all ascending.
+    """
+    numbered = global_index(df.select(*order), order, "_i")
+    return numbered.filter(wanted(F.col("_i"), F.col("_i_total"))).select(*order)
+
+
+def cuts_below(df: DataFrame, order, wanted):
+    """(column, cuts): how many wanted positions lie at or before a row, and how many there are.
+
+    For few positions, whose keys become constants of the plan. Rows with equal keys are on the
+    same side. The column fits any frame with the key columns.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    key = F.struct(*[F.col(c).alias(c) for c in order])
+    cuts = cut_keys(df, order, wanted).collect()
+    passed = [(F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)]) <= key)
+              .cast("int") for cut in cuts]
+    return reduce(lambda a, b: a + b, passed, F.lit(0)), len(cuts)
+
+
 def join_checked(df: DataFrame, side: DataFrame, by, how="left",
                  limit=BROADCAST_ROWS) -> DataFrame:
     """Join a reduced table back onto raw rows without shuffling them, if it is small.
@@ -120,35 +144,86 @@ def unpivot(df: DataFrame, columns, by=()) -> DataFrame:
     return df.select(*by, F.expr(f"stack({len(columns)}, {pairs})").alias("variable", "value"))
 
 
+#: Ranks of a sketch are off by one part in ACCURACY at most; groups of up to SMALL_GROUP values
+#: are not sketched.
+ACCURACY = 2000
+SMALL_GROUP = 4 * ACCURACY
+
+
+def _brackets(values: DataFrame, keys, probs) -> DataFrame:
+    """Per key and prob two values, low and high, between which its order statistics lie.
+
+    One pass over the values with sketches that merge in any order. The margin is three times what
+    a sketch can be off.
+    """
+    reach = 3.0 / ACCURACY
+    ends = [max(0.0, p - reach) for p in probs] + [min(1.0, p + reach) for p in probs]
+    made = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
+        F.percentile_approx("value", ends, ACCURACY).alias("_ends"))
+    small = F.col("_n") <= SMALL_GROUP
+    cols = []
+    for i, p in enumerate(probs):
+        low, high = F.get("_ends", F.lit(i)), F.get("_ends", F.lit(len(probs) + i))
+        first, last = p - reach <= 0, p + reach >= 1
+        cols += [F.when(small | F.lit(first), F.col("_min")).otherwise(low).alias(f"_low_{i}"),
+                 F.when(small | F.lit(last), F.col("_max")).otherwise(high).alias(f"_high_{i}")]
+        if p in (0.0, 1.0):
+            end = "_min" if p == 0.0 else "_max"
+            cols[-2:] = [F.when(small, F.col(f"_{x}")).otherwise(F.col(end)).alias(f"_{y}_{i}")
+                         for x, y in (("min", "low"), ("max", "high"))]
+    return made.select(*keys, *cols)
+
+
+def _cells(values: DataFrame, keys, probs) -> DataFrame:
+    """(keys, value, gap, cnt): counts of the values inside brackets, and of each gap between them.
+
+    A gap is counted under the bracket end before it (NULL before the first) and comes
+    behind the values there. Only these counts are put in order afterwards.
+    """
+    marked = join_checked(values, _brackets(values, keys, probs), keys, "inner")
+    v, n = F.col("value"), range(len(probs))
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_low_{i}"), F.col(f"_high_{i}"))
+                                         for i in n])
+    ends = [F.when(F.col(f"_high_{i}") < v, F.col(f"_high_{i}")) for i in n]
+    before = F.greatest(*ends) if len(ends) > 1 else ends[0]
+    return marked.groupBy(*keys, F.when(inside, v).otherwise(before).alias("value"),
+                          (~inside).alias("gap")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def exact_quantiles(df: DataFrame, columns, probs, by=(), slices=None) -> DataFrame:
     """Linear-interpolated exact quantiles, one row per (by, variable).
 
     Output columns: ``n`` and ``q<prob>`` with the point replaced by ``_``
-    (``q0_25``). Values are first counted per distinct value with map-side
-    combine; order statistics are then read off running counts.
+    (``q0_25``). A sketch brackets each wanted rank in one pass; a second pass counts what
+    lies between the brackets and keeps only values inside. Order statistics are read off
+    running counts of those. A rank that its bracket missed (which the sketch rules out)
+    stops the job instead of giving a wrong value.
     """
     by = list(by)
     keys = [*by, "variable"]
-    values = unpivot(df, columns, by).filter(F.col("value").isNotNull())
     # -0.0 and 0.0 are one value
-    counts = values.groupBy(*keys, (F.col("value") + F.lit(0.0)).alias("value")) \
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    pinned = _sliced(counts, keys, [F.col("value")], slices)
+    values = unpivot(df, columns, by).filter(F.col("value").isNotNull()) \
+        .withColumn("value", F.col("value") + F.lit(0.0))
+    pinned = _sliced(_cells(values, keys, probs), keys, [F.col("value"), F.col("gap")], slices)
     offsets = _offsets(pinned.groupBy(*keys, SLICE).agg(F.sum("cnt").alias("cnt")), ["cnt"], keys)
     # only slices that hold a wanted rank are read on
     ranks = F.array(*[fn((F.col("cnt_total") - 1) * F.lit(float(p)))
                       for p in probs for fn in (F.floor, F.ceil)])
     holds = F.exists(ranks, lambda k: (k >= F.col("_off_cnt"))
                      & (k < F.col("_off_cnt") + F.col("_in_cnt")))
-    rows = join_checked(pinned, offsets.filter(holds), [*keys, SLICE], "inner")
-    ranked = _local_totals(rows, [F.col("value")], ["cnt"], keys)
+    rows = join_on(pinned, offsets.filter(holds), [*keys, SLICE], "inner")
+    ranked = _local_totals(rows, [F.col("value"), F.col("gap")], ["cnt"], keys)
+    # looked at only where a wanted rank is
+    found = F.when(F.col("gap"), F.raise_error(F.lit("a rank lies outside its bracket"))
+                   .cast("double")).otherwise(F.col("value"))
     first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
     aggs = [F.max("cnt_total").alias("n")]
     for p in probs:
         h = (F.col("cnt_total") - 1) * F.lit(float(p))
         for tag, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             hit = (first <= rank) & (rank < last)
-            aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"_{tag}_{quantile_name(p)}"))
+            aggs.append(F.max(F.when(hit, found)).alias(f"_{tag}_{quantile_name(p)}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
     cols = {}
     for p in probs:

@@ -1,5 +1,6 @@
 """Data quality and exploratory statistics, all exact over the whole table."""
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions.columns import numeric_features
 from panelrisk.functions.scalars import flag, number, zero
-from panelrisk.operators.ordered import (exact_quantiles, global_index, join_checked, join_on,
-                                         quantile_name, unpivot)
+from panelrisk.operators.ordered import (cut_keys, exact_quantiles, global_index, join_checked,
+                                         join_on, quantile_name, unpivot)
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -45,18 +46,51 @@ def impute(df: DataFrame, column, value=0.0, marker=None) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns=None, approximate=False) -> DataFrame:
-    """Type, share of non-NULL cells and distinct values per column."""
+    """Type, share of non-NULL cells and distinct values per column.
+
+    Distinct values are counted on two levels: a hash pair per cell is made distinct with
+    map-side combine, then counted per column; rows are not repeated per column.
+    ``approximate`` uses one mergeable sketch per column instead.
+    """
     columns = columns or df.columns
     types = dict(df.dtypes)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count_if(~_absent(df, c)).alias(f"n_{c}") for c in columns],
-                  *[distinct(c).alias(f"d_{c}") for c in columns])
+                  *[F.count_if(~_absent(df, c)).alias(f"n_{c}") for c in columns])
     rows = [F.struct(F.lit(c).alias("variable"), F.lit(types[c]).alias("type"),
                      F.round(F.try_divide(F.col(f"n_{c}") * 100.0, F.col("_n")), 2)
-                     .alias("filled_percent"),
-                     F.col(f"d_{c}").alias("distinct_values")) for c in columns]
-    return wide.select(F.inline(F.array(*rows)))
+                     .alias("filled_percent")) for c in columns]
+    filled = wide.select(F.inline(F.array(*rows)))
+    distinct = distinct_estimates(distinct_sketches(df, columns)) if approximate \
+        else distinct_counts(df, columns)
+    return filled.join(distinct, "variable", "left").withColumn(
+        "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long")))
+
+
+def distinct_counts(df: DataFrame, columns) -> DataFrame:
+    """(variable, distinct_values) of the non-NULL cells, told apart by 128 bits of hash."""
+    cells = [F.when(F.col(c).isNotNull(), F.struct(
+        F.lit(i).alias("i"), F.xxhash64(F.col(c)).alias("h1"),
+        F.xxhash64(F.lit(i), F.col(c)).alias("h2"))) for i, c in enumerate(columns)]
+    each = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+    names = F.array(*[F.lit(c) for c in columns])
+    return each.groupBy("i", "h1", "h2").agg(F.lit(1).alias("one")) \
+        .groupBy("i").agg(F.count(F.lit(1)).alias("distinct_values")) \
+        .select(F.get(names, F.col("i")).alias("variable"), "distinct_values")
+
+
+def distinct_sketches(df: DataFrame, columns) -> DataFrame:
+    """(variable, sketch): to be stored with an extract and merged with those of later ones."""
+    wide = df.agg(*[F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c))))
+                    .alias(f"s_{i}") for i, c in enumerate(columns)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"s_{i}").alias("sketch"))
+        for i, c in enumerate(columns)])))
+
+
+def distinct_estimates(*sketches: DataFrame) -> DataFrame:
+    """(variable, distinct_values) of one or several extracts together, from their sketches."""
+    return reduce(DataFrame.unionByName, sketches).groupBy("variable").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
 def iqr_outliers(df: DataFrame, columns, k=1.5, by=()) -> DataFrame:
@@ -224,10 +258,14 @@ def top_rows(df: DataFrame, metric, k, columns, ties) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order, max_rows=100_000) -> DataFrame:
-    """Every n-th row of a global order, n = rows div max_rows (at least 1)."""
-    i = global_index(df, order, "_i")
-    step = F.greatest(F.lit(1), F.floor(F.col("_i_total") / max_rows))
-    return i.filter(F.col("_i") % step == 0).drop("_i", "_i_total")
+    """Every n-th row of a global order, n = rows div max_rows (at least 1).
+
+    ``order`` names columns that together are unique. Only they are put in order; the rows at
+    the wanted positions, fewer than twice ``max_rows``, are then looked up by them.
+    """
+    picked = cut_keys(df, order, lambda i, total: i % F.greatest(
+        F.lit(1), F.floor(total / max_rows)) == 0)
+    return join_checked(df, picked, list(order), "inner", limit=2 * max_rows)
 
 
 def capped_sample(df: DataFrame, key, rows=50_000, seed=42) -> DataFrame:

@@ -7,7 +7,7 @@ from panelrisk.fixed_values import (HORIZON, LOOK_BACK, NOT_A_WINDOW_FEATURE, TE
                                     VAL_YEAR, WINDOW_STEPS, WINDOW_STRIDE)
 from panelrisk.functions.columns import numeric_features
 from panelrisk.functions.scalars import zero
-from panelrisk.operators.ordered import global_index
+from panelrisk.operators.ordered import cuts_below, global_index
 from panelrisk.operators.panel import WEEK_ORDER, series
 
 
@@ -108,13 +108,11 @@ def resolve_splits(df: DataFrame, split="split", order=("week_end", "country_std
     is_train, is_val = F.col(split) == "train", F.col(split) == "val"
     is_test = F.col(split) == "test" if seen.t else is_val
     if not seen.v:
-        # val is empty: training rows are numbered on their own, test rows stay aside
-        first = global_index(df.filter(is_train), list(order), "_i")
-        df = first.unionByName(df.filter(~is_train), allowMissingColumns=True)
-        late = F.col("_i") >= F.floor(F.col("_i_total") * F.lit(1.0 - val_part))
+        # val is empty: the key that cuts off the last part of the training rows
+        late = cuts_below(df.filter(is_train), list(order), lambda i, total: i == F.floor(
+            total * F.lit(1.0 - val_part)))[0] > 0
         is_train, is_val = is_train & ~late, is_train & late
-    return df.withColumns({"is_test": is_test, "is_train": is_train, "is_val": is_val}) \
-        .drop("_i", "_i_total")
+    return df.withColumns({"is_test": is_test, "is_train": is_train, "is_val": is_val})
 
 
 def look_back(df: DataFrame, features, length=LOOK_BACK, entity="country_std",
@@ -128,12 +126,17 @@ def look_back(df: DataFrame, features, length=LOOK_BACK, entity="country_std",
 
 
 def time_blocks(df: DataFrame, order, parts=4, out="block") -> DataFrame:
-    """Equal consecutive blocks 0..parts-1 of the rows in time order; left-overs get ``parts``."""
-    numbered = global_index(df, order, "_i")
-    step = F.floor(F.col("_i_total") / parts)
-    block = F.least(F.lit(parts), F.floor(F.try_divide(F.col("_i"), step)))
-    return numbered.withColumn(out, F.coalesce(block, F.lit(parts)).cast("int")) \
-        .drop("_i", "_i_total")
+    """Equal consecutive blocks 0..parts-1 of the rows in time order; left-overs get ``parts``.
+
+    Only the order's columns are put in order, to find the keys at which blocks begin.
+    """
+    def begins(i, total):
+        step = F.floor(total / parts)
+        return (i > 0) & (i <= step * parts) & (F.try_mod(i, step) == 0)
+
+    block, cuts = cuts_below(df, order, begins)
+    # without a cut there are fewer rows than parts, or there is one part
+    return df.withColumn(out, block if cuts or parts == 1 else F.lit(parts))
 
 
 def expanding_fold(df: DataFrame, fold, block="block"):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelrisk.operators import ordered, quality, sequences
 from panelrisk.operators.ordered import (exact_quantiles, global_index, join_checked, keep_first,
                                          running_totals)
 
@@ -87,3 +88,67 @@ def test_owned_pins_are_deleted(spark):
         folder = Path(paths[0].removeprefix("file:"))
         assert folder.exists()
     assert not folder.exists()
+
+
+@pytest.mark.parametrize("kind", ["normal", "few", "heavy"])
+def test_quantiles_of_sketched_groups(spark, monkeypatch, kind):
+    monkeypatch.setattr(ordered, "ACCURACY", 100)
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 400)
+    rng = np.random.default_rng(7)
+    x = {"normal": rng.normal(size=6000), "few": rng.integers(0, 9, 6000).astype(float),
+         "heavy": np.where(rng.random(6000) < 0.6, 5.0, rng.exponential(size=6000) * 9)}[kind]
+    hot = np.arange(6000) % 3 > 0
+    df = spark.createDataFrame([("hot" if h else "cold", float(v)) for h, v in zip(hot, x)]
+                               + [("small", float(v)) for v in x[:50]], "g string, x double") \
+        .repartition(7)
+    probs = [0.0, 0.004, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for r in exact_quantiles(df, ["x"], probs, ["g"], 5).collect():
+        own = x[hot] if r.g == "hot" else x[~hot] if r.g == "cold" else x[:50]
+        assert r.n == len(own)
+        assert np.allclose(list(r)[3:], np.percentile(own, [100 * p for p in probs]))
+
+
+def test_only_values_inside_brackets_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ACCURACY", 200)
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 800)
+    seen = []
+    sliced = ordered._sliced
+    monkeypatch.setattr(ordered, "_sliced", lambda df, *a: seen.append(sliced(df, *a)) or seen[-1])
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("x"))
+    got = exact_quantiles(df, ["x"], [0.25, 0.5]).first()
+    assert (got.q0_25, got.q0_5) == (4999.75, 9999.5)
+    # two brackets of at most eight parts in 200 each, and three gaps
+    assert seen[0].count() <= 2 * 8 * 100 + 3
+    assert seen[0].agg(F.sum("cnt")).first()[0] == 20_000
+
+
+def test_cut_keys_move_keys_only(spark):
+    rows = [(i * 37 % 101, f"k{i % 3}", "x" * 50) for i in range(101)] + [(None, "k", "y")]
+    df = spark.createDataFrame(rows, "a int, b string, wide string").repartition(5)
+    cut = ordered.cut_keys(df, ["a", "b"], lambda i, total: i % 10 == 0)
+    assert cut.columns == ["a", "b"]
+    in_order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(map(str, cut.collect())) == sorted(
+        f"Row(a={r[0]}, b='{r[1]}')" for r in in_order[::10])
+    got = quality.systematic_sample(df, ["a", "b"], 10)
+    assert sorted(map(str, got.collect())) == sorted(
+        f"Row(a={a}, b='{b}', wide='{w}')" for a, b, w in in_order[::10])
+    for parts in (1, 4, 7):
+        step = len(rows) // parts
+        want = sorted((str(r[0]), min(parts, i // step)) for i, r in enumerate(in_order))
+        blocks = sequences.time_blocks(df, ["a", "b"], parts).collect()
+        assert sorted((str(r.a), r.block) for r in blocks) == want
+    assert [r.block for r in sequences.time_blocks(df.limit(2), ["a"], 3).collect()] == [3, 3]
+
+
+def test_distinct_counts_and_sketches(spark):
+    rows = [(i % 7, None if i % 2 else float("nan") if i % 3 else 0.0, "same", None)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d string")
+    got = {r.variable: r.distinct_values for r in quality.column_profile(df).collect()}
+    assert got == {"a": 7, "b": 2, "c": 1, "d": 0}
+    parts = [quality.distinct_sketches(df.filter(f"a % 2 = {k}"), df.columns) for k in (0, 1)]
+    merged = {r.variable: r.distinct_values for r in quality.distinct_estimates(*parts).collect()}
+    assert merged == got
+    assert {r.variable: r.distinct_values
+            for r in quality.column_profile(df, approximate=True).collect()} == got
