@@ -1,19 +1,20 @@
 """Structured Streaming counterparts of the batch rollups.
 
 Aggregating streams run in update mode with a watermark, so closed windows leave
-the state store. Each micro-batch writes its changed rows below its own batch
-folder (rewritten on a retry, hence exactly once); ``latest`` reads the newest
-version per key.
+the state store. Each micro-batch puts its changed rows into a ``Versioned`` table, which
+keeps the newest row per key in few runs; ``latest`` reads it.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelrisk.fixed_values import NONSTATE_KINDS, ONESIDED_KINDS, STATE_KINDS
 from panelrisk.operators.entities import assign_tier, canonicalise
-from panelrisk.session import scratch
+from panelrisk.session import scratch, settings
+from panelrisk.streaming import carry
+from panelrisk.streaming.versioned import Versioned
+
+carry_forward = carry.carry_forward
 
 
 def file_stream(spark: SparkSession, folder, schema, pattern="*.parquet", files_per_batch=200):
@@ -29,22 +30,27 @@ def event_time(df: DataFrame, time="ts", delay="1 day") -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def run_updates(stream: DataFrame, out, checkpoint=None):
-    """Drain what has arrived in update mode; changed rows per batch go below ``out``."""
-    def save(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    query = (stream.writeStream.outputMode("update").foreachBatch(save)
-             .option("checkpointLocation", checkpoint or scratch(stream.sparkSession, "stream"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+def run_updates(stream: DataFrame, out, keys, checkpoint=None, timers=False):
+    """Drain what has arrived in update mode into the ``Versioned`` table ``out``.
+
+    ``timers`` takes the state store that keyed processors with timers need. Returns the ended
+    query, whose progress tells how much state is left.
+    """
+    spark = stream.sparkSession
+    store = {"spark__sql__streaming__stateStore__providerClass": carry.ROCKSDB} if timers else {}
+    with settings(spark, **store):
+        query = (stream.writeStream.outputMode("update")
+                 .foreachBatch(lambda batch, i: Versioned(batch.sparkSession, out, keys)
+                               .update(batch, i))
+                 .option("checkpointLocation", checkpoint or scratch(spark, "stream"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    return query
 
 
 def latest(spark: SparkSession, out, keys) -> DataFrame:
     """Newest version of each key of an update stream's output."""
-    df = spark.read.option("basePath", out).parquet(out)
-    rest = [c for c in df.columns if c not in [*keys, "batch_id"]]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")) \
-        .select(*keys, "_v.*")
+    return Versioned(spark, out, keys).read()
 
 
 def run_append(stream: DataFrame, out, checkpoint=None):
@@ -94,25 +100,3 @@ def sliding_mean(stream: DataFrame, time="ts", keys=("user_id",), value="value",
     return stream.groupBy(w.alias("w"), *keys).agg(F.avg(value).alias("mean_value"),
                                                    F.count(F.lit(1)).alias("n")) \
         .select(F.col("w.start").alias("start"), *keys, "mean_value", "n")
-
-
-def carry_forward(stream: DataFrame, key, period, value, default=1.0) -> DataFrame:
-    """Fill NULL values of a keyed series with the last known one, else a constant.
-
-    Panel grain: a key has one row per period, so a micro-batch holds at most a
-    calendar of rows for it. Rows are taken in period order inside a
-    micro-batch; rows already emitted are not revised.
-    """
-    types = dict(stream.dtypes)
-    schema = f"{key} {types[key]}, {period} {types[period]}, {value} double"
-
-    def fill(k, chunks, state: GroupState):
-        last = state.get[0] if state.exists else default
-        chunks = [c for c in chunks if len(c)]
-        rows = pd.concat(chunks).sort_values(period, kind="stable")
-        filled = rows[value].astype("float64").ffill().fillna(last)
-        state.update((float(filled.iloc[-1]),))
-        yield pd.DataFrame({key: k[0], period: rows[period].array, value: filled.array})
-
-    return stream.select(key, period, value).groupBy(key).applyInPandasWithState(
-        fill, schema, "last double", "append", GroupStateTimeout.NoTimeout)

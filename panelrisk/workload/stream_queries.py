@@ -1,4 +1,4 @@
-"""Structured Streaming over the events file, checked against batch SQL."""
+"""Structured Streaming over the events in several micro-batches, checked against batch SQL."""
 
 from pyspark.sql import functions as F
 
@@ -8,26 +8,40 @@ from panelrisk.workload.base import USERS, query, r, rounded, table, user_days,
 from panelrisk.workload.entity_queries import NAMES, _pick, _pick_sql
 
 
-def _utc(spark):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+SLICES = 3
+
+
+def _in_order(df, time, folder):
+    """Write a table as ``SLICES`` arrivals in time order; the span of one in days."""
+    ends = df.agg(F.min(time).alias("low"), F.max(time).alias("high"),
+                  F.date_diff(F.max(time), F.min(time)).alias("days")).first()
+    span = (ends.days or 0) // SLICES + 1
+    at = F.floor(F.date_diff(F.to_date(F.col(time)), F.to_date(F.lit(ends.low))) / span)
+    for i in range(SLICES):
+        df.filter(at == i).write.mode("append").parquet(folder)
+    return span
 
 
 def _events(spark, sf):
-    _utc(spark)
-    schema = table(spark, sf, "events").schema
-    # a glob takes a single file and a folder of part files alike
-    return streams.file_stream(spark, f"{sf}/events.parquet*", schema)
+    """(events as a stream of several micro-batches, how late a row can be within an arrival)."""
+    folder, e = scratch(spark, "events"), table(spark, sf, "events")
+    days = _in_order(e, "ts", folder)
+    files = spark.read.parquet(folder).select("_metadata.file_path").distinct().count()
+    s = streams.file_stream(spark, folder, spark.read.parquet(folder).schema,
+                            files_per_batch=-(-files // SLICES))
+    return s, f"{days + 1} days"
 
 
 def _timed(spark, sf):
-    e = streams.event_time(_events(spark, sf))
-    return e.withColumns({"volume": F.floor("value").cast("long")})
+    e, delay = _events(spark, sf)
+    return streams.event_time(e, delay=delay).withColumns({
+        "volume": F.floor("value").cast("long")})
 
 
 @query("stream_canonicalise", f"""SELECT event_id, {_pick_sql([n[1] for n in NAMES], 'event_id')}
  AS country_std, {_pick_sql([n[2] for n in NAMES], 'event_id')} AS "group" FROM events""")
 def stream_canonicalise(spark, sf):
-    e = _events(spark, sf).select("event_id", _pick([n[0] for n in NAMES], "event_id")
+    e = _events(spark, sf)[0].select("event_id", _pick([n[0] for n in NAMES], "event_id")
                                   .alias("raw"))
     out = scratch(spark, "out")
     streams.run_append(streams.canonical_stream(e, "raw").drop("raw"), out)
@@ -38,10 +52,11 @@ def stream_canonicalise(spark, sf):
  {_pick_sql([n[1] for n in NAMES], 'event_id')} AS country_std, COUNT(*) AS rows FROM events
  GROUP BY 1, 2""")
 def stream_counts(spark, sf):
-    e = _events(spark, sf).select(_pick([n[0] for n in NAMES], "event_id").alias("raw"))
+    e = _events(spark, sf)[0].select(_pick([n[0] for n in NAMES], "event_id").alias("raw"))
     out = scratch(spark, "out")
-    streams.run_updates(streams.running_counts(streams.canonical_stream(e, "raw")), out)
-    return streams.latest(spark, out, ["group", "country_std"])
+    keys = ["group", "country_std"]
+    streams.run_updates(streams.running_counts(streams.canonical_stream(e, "raw")), out, keys)
+    return streams.latest(spark, out, keys)
 
 
 @query("stream_daily_media", f"""SELECT CAST(ts AS DATE) AS day, user_id, event_type,
@@ -49,8 +64,9 @@ def stream_counts(spark, sf):
  FROM events GROUP BY 1, 2, 3""")
 def stream_daily_media(spark, sf):
     out = scratch(spark, "out")
-    streams.run_updates(streams.media_daily_stream(_timed(spark, sf)), out)
-    df = streams.latest(spark, out, ["day", "user_id", "event_type"])
+    keys = ["day", "user_id", "event_type"]
+    streams.run_updates(streams.media_daily_stream(_timed(spark, sf)), out, keys)
+    df = streams.latest(spark, out, keys)
     return rounded(df.withColumn("day", F.to_date("day")))
 
 
@@ -68,8 +84,9 @@ def stream_weekly_rollup(spark, sf):
         "ts", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("country_std"),
         kind.alias("event_type"), F.col("volume").alias("fatalities"))
     out = scratch(spark, "out")
-    streams.run_updates(streams.weekly_stream(e), out)
-    return streams.latest(spark, out, ["monday", "country_std"]) \
+    keys = ["monday", "country_std"]
+    streams.run_updates(streams.weekly_stream(e), out, keys)
+    return streams.latest(spark, out, keys) \
         .withColumn("monday", F.to_date("monday"))
 
 
@@ -79,12 +96,14 @@ def stream_weekly_rollup(spark, sf):
  COALESCE(last_value(signal IGNORE NULLS) OVER (PARTITION BY country_std ORDER BY day
  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS signal FROM d""")
 def stream_carry_forward(spark, sf):
-    _utc(spark)
     days, out = scratch(spark, "days"), scratch(spark, "out")
-    user_days(spark, sf).select("country_std", "day", "signal").write.parquet(days)
-    s = streams.file_stream(spark, days, spark.read.parquet(days).schema)
-    streams.run_append(streams.carry_forward(s, "country_std", "day", "signal"), out)
-    return spark.read.parquet(out)
+    span = _in_order(user_days(spark, sf).select("country_std", "day", "signal"), "day", days)
+    files = spark.read.parquet(days).select("_metadata.file_path").distinct().count()
+    s = streams.file_stream(spark, days, spark.read.parquet(days).schema,
+                            files_per_batch=-(-files // SLICES))
+    filled = streams.carry_forward(s, "country_std", "day", "signal", delay=f"{span + 1} days")
+    streams.run_updates(filled, out, ["country_std", "day"], timers=True)
+    return streams.latest(spark, out, ["country_std", "day"])
 
 
 @query("stream_sliding_mean", f"""SELECT user_id, CAST(d.day - k.i AS DATE) AS start,
@@ -93,6 +112,6 @@ def stream_carry_forward(spark, sf):
  CROSS JOIN (SELECT CAST(i AS INTEGER) AS i FROM range(0, 14) t(i)) k GROUP BY 1, 2""")
 def stream_sliding_mean(spark, sf):
     out = scratch(spark, "out")
-    streams.run_updates(streams.sliding_mean(_timed(spark, sf)), out)
+    streams.run_updates(streams.sliding_mean(_timed(spark, sf)), out, ["start", "user_id"])
     df = streams.latest(spark, out, ["start", "user_id"])
     return rounded(df.withColumn("start", F.to_date("start")))
