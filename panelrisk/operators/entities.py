@@ -8,8 +8,8 @@ known here, and the engine broadcasts it only when its statistics allow.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrisk.fixed_values import (ALIASES, BORDERS, CORE_ENTITIES, REGIONS, REPAIR_ALIASES,
-                                    TIER_ORDER, code_rows)
+from panelrisk.fixed_values import (ALIASES, BORDERS, CORE_ENTITIES, MEDIA_PLACES, REGIONS,
+                                    REPAIR_ALIASES, TIER_ORDER, code_rows)
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
@@ -31,9 +31,34 @@ def code_table(spark: SparkSession) -> DataFrame:
                                              "code string, canonical string, tier string"))
 
 
+def media_table(spark: SparkSession) -> DataFrame:
+    """Media codes of places that are no country; their tier is OTHER."""
+    return spark.createDataFrame([(c, n, "OTHER") for c, n in MEDIA_PLACES],
+                                 "code string, canonical string, tier string")
+
+
+def code_systems(spark: SparkSession, *more: DataFrame) -> DataFrame:
+    """(code, canonical, tier) of several code systems, of which the first to know a code counts.
+
+    ISO-3, FIPS and names come first, then the media codes, then the caller's tables in turn.
+    Codes are trimmed and NULLs left out; a name without a tier is looked up among the core ones.
+    """
+    tables = [code_table(spark), media_table(spark), *more]
+    all_rows = [t.select(F.trim("code").alias("code"), "canonical", "tier", F.lit(i).alias("system"))
+                for i, t in enumerate(tables)]
+    rows = all_rows[0]
+    for t in all_rows[1:]:
+        rows = rows.unionByName(t)
+    first = rows.filter("code IS NOT NULL AND canonical IS NOT NULL").groupBy("code").agg(
+        F.min_by(F.struct("canonical", "tier"), F.struct("system", "canonical", "tier")).alias("v"))
+    known = _lookup(first.select("code", "v.*"), F.col("canonical"), tier_table(spark), "tier",
+                    "_own")
+    return known.select("code", "canonical", F.coalesce("tier", "_own", F.lit("OTHER")).alias("tier"))
+
+
 def region_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(
-        [(m, r) for r, members in REGIONS for m in members], "canonical string, region string"))
+        REGIONS, "canonical string, region string"))
 
 
 def border_table(spark: SparkSession) -> DataFrame:
@@ -84,7 +109,7 @@ def assign_tier(df: DataFrame, entity="country_std", out="group", tiers=None, em
 def resolve_codes(df: DataFrame, code, entity="country_std", tier="group", codes=None):
     """ISO-3, FIPS or name to (entity, tier); unknown codes keep their text and tier ``?``.
 
-    A caller's table (code, canonical, tier) can hold any further code system.
+    ``codes`` replaces the built-in table; ``code_systems`` makes one of several systems.
     """
     table = codes if codes is not None else code_table(df.sparkSession)
     side = table.select(F.col("code").alias("_k"), F.col("canonical").alias("_c"),

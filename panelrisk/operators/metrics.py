@@ -143,3 +143,17 @@ def onset_recall(df: DataFrame, y_now, y_future, p, threshold) -> DataFrame:
     return out.select("onset_n", "decay_n",
                       F.try_divide(F.col("_hits").cast("double"), F.col("onset_n"))
                       .alias("onset_recall"))
+
+
+def stacked(df: DataFrame, entries) -> DataFrame:
+    """(part, key, y, p, threshold): several evaluations of the same rows, for one ranked pass.
+
+    ``entries`` are (part, key, y, p, threshold, condition) columns, the part a name; a row
+    takes part where the condition holds. NULL keys are kept as a group.
+    """
+    rows = [F.when(condition, F.struct(
+        F.lit(part).alias("part"), as_col(key).cast("string").alias("key"),
+        as_col(y).cast("long").alias("y"), as_col(p).cast("double").alias("p"),
+        as_col(threshold).cast("double").alias("threshold")))
+        for part, key, y, p, threshold, condition in entries]
+    return df.select(F.explode(F.array_compact(F.array(*rows))).alias("one")).select("one.*")

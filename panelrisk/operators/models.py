@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.fixed_values import EPS, FINAL_MODELS, FINAL_REASONS, TIER_ALPHA
 from panelrisk.functions.scalars import target_week
+from panelrisk.operators import sequences
 from panelrisk.sources.files import missing_columns, write_report
 
 SEED = 42
@@ -171,6 +172,12 @@ def load(spark, folder):
     return PipelineModel.load(f"{folder}/trees"), PipelineModel.load(f"{folder}/sequence"), meta
 
 
+def stored_vocabulary(spark, meta) -> DataFrame:
+    """(country_std, country_id) as the stored models index entities."""
+    return spark.createDataFrame([(c, i) for i, c in enumerate(meta["countries"])],
+                                 "country_std string, country_id long")
+
+
 def check_features(df: DataFrame, features):
     absent = missing_columns(df, features)
     if absent:
@@ -189,7 +196,11 @@ def in_target_range(df: DataFrame, split="all", start=None, end=None) -> DataFra
 
 def predict_saved(spark, folder, df: DataFrame, split="all", start=None, end=None,
                   threshold=None) -> DataFrame:
-    """Row-level predictions of a saved model on a split and target-date range."""
+    """Row-level predictions of a saved model on a split and target-date range.
+
+    Entities are mapped by name to the stored vocabulary; ``country_id`` is NULL for one it does not
+    have, which the models score as unknown.
+    """
     trees, linear, meta = load(spark, folder)
     check_features(df, meta["features"])
     chosen = in_target_range(df, split, start, end)
@@ -202,8 +213,9 @@ def predict_saved(spark, folder, df: DataFrame, split="all", start=None, end=Non
     scored = standardise(scored, meta["mean"], meta["sigma"])
     scored = score(linear, scored, "p_sequence", steps="Z")
     cut = float(meta["threshold"] if threshold is None else threshold)
+    scored = sequences.remap(scored, stored_vocabulary(spark, meta))
     return scored.withColumn("p_conflict", final_score(meta)).select(
-        "country_std", "week_end", "target_week_end", "split", F.col("Y").alias("y_true"),
+        "country_std", "country_id", "week_end", "target_week_end", "split", F.col("Y").alias("y_true"),
         "p_trees", "p_sequence", "p_conflict",
         (F.col("p_conflict") >= cut).cast("int").alias("pred"),
         F.lit(meta["final_model"]).alias("final_model"), F.lit(cut).alias("threshold"))

@@ -68,7 +68,14 @@ def entity_tiers(df: DataFrame, entity="country_std", tier="group",
 
 
 def calendar(df: DataFrame, period=WEEK, order=WEEK_ORDER) -> DataFrame:
-    """One row holding the ordered array of distinct periods (bounded by the calendar)."""
+    """One row holding the ordered array of distinct periods (bounded by the calendar).
+
+    A timestamp is no period: its distinct values would grow with the events, so it is refused.
+    """
+    moments = [f.name for f in df.schema if f.name in (*period, *[c for c in order
+               if isinstance(c, str)]) and f.dataType.typeName().startswith("timestamp")]
+    if moments:
+        raise ValueError(f"not a period, truncate it first: {moments}")
     days = df.select(F.struct(*order, *[c for c in period if c not in order]).alias("p")) \
         .distinct()
     return days.agg(F.array_sort(F.collect_list("p")).alias("periods"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelrisk.functions import columns
 from panelrisk.operators import composite, quality, rolling, rollups
 from panelrisk.operators.normalize import zscores
 from panelrisk.plans import panels
@@ -19,6 +20,40 @@ def weekly_rollup(spark, sf):
     return weekly_counts(spark, sf)
 
 
+def _dirty(spark, sf):
+    """user events without some names, with unreadable dates, and with two tiers an entity."""
+    e = user_events(spark, sf)
+    return e.select(
+        F.when(F.col("event_id") % 7 > 0, F.col("country_std")).alias("country_std"),
+        F.when(F.col("event_id") % 11 == 0, "n/a").when(F.col("event_id") % 13 == 0, None)
+        .otherwise(F.col("date_start")).alias("event_date"),
+        F.when(F.col("event_id") % 3 == 0, "B").when(F.col("event_id") % 3 == 1, "A")
+        .alias("group"), F.col("event_type"), F.col("best").alias("fatalities"))
+
+
+DIRTY = USERS + """, dirty AS (SELECT CASE WHEN event_id % 7 > 0 THEN country_std END AS country_std,
+ CASE WHEN event_id % 11 > 0 AND event_id % 13 > 0 THEN day END AS d, best,
+ CASE event_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' ELSE 'OTHER' END AS tier FROM user_events)"""
+
+
+@query("dirty_weekly_rollup", with_cte(DIRTY) + """SELECT country_std,
+ CAST(isoyear(d) AS INTEGER) AS year, CAST(weekofyear(d) AS INTEGER) AS week_num,
+ MIN(tier) AS "group", COUNT(*) AS total_events, CAST(SUM(best) AS BIGINT) AS weekly_fatalities
+ FROM dirty WHERE country_std IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2, 3""")
+def dirty_weekly_rollup(spark, sf):
+    dated = columns.drop_null_keys(columns.with_week(_dirty(spark, sf)), ["country_std", "week_id"])
+    return rollups.weekly_rollup(dated).select("country_std", "year", "week_num", "group",
+                                               "total_events", "weekly_fatalities")
+
+
+@query("null_key_report", with_cte(DIRTY) + """SELECT COUNT(*) AS rows,
+ COUNT(*) FILTER (country_std IS NULL OR d IS NULL) AS dropped,
+ COUNT(*) FILTER (country_std IS NULL) AS null_country_std,
+ COUNT(*) FILTER (d IS NULL) AS null_week_id FROM dirty""")
+def null_key_report(spark, sf):
+    return columns.null_key_counts(columns.with_week(_dirty(spark, sf)), ["country_std", "week_id"])
+
+
 @query("rolling_intensity", with_cte(WEEKLY) + f"""SELECT {IDS}, {r('CII_roll7', 'CII_roll7')},
  {r('CII_roll90', 'CII_roll90')} FROM weekly""")
 def rolling_intensity(spark, sf):

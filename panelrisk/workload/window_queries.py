@@ -188,7 +188,67 @@ def trained_ensemble(spark, sf):
 
 @query("training_report")
 def training_report(spark, sf):
-    return training.train(_table(spark, sf), FEATURES)[1]
+    return training.train(_table(spark, sf), FEATURES, context=_context(spark, sf))[1]
+
+
+def _context(spark, sf):
+    """The weekly panel with states and a tier by the entity's last digit."""
+    last = F.substring("country_std", -1, 1)
+    return labelled_weeks(spark, sf).select("country_std", "week_id", "Y", F.when(
+        last < "4", "A").when(last < "7", "B").alias("group"))
+
+
+REPORT = SPLIT + """, sized AS (SELECT COUNT(*) FILTER (split = 'train') AS train,
+ COUNT(*) FILTER (split = 'val') AS val, COUNT(*) FILTER (split = 'test') AS test,
+ COUNT(DISTINCT country_std) AS n_countries FROM sp),
+ t AS (SELECT sp.Y AS y, lab.Y AS y_now, CASE WHEN right(sp.country_std, 1) < '4' THEN 'A'
+ WHEN right(sp.country_std, 1) < '7' THEN 'B' END AS tier FROM sp LEFT JOIN lab
+ ON lab.country_std = sp.country_std AND lab.week_id = sp.week_end WHERE split = 'test'),
+ d AS (SELECT COUNT(*) FILTER (y_now = 0 AND y = 1) AS onset_n,
+ COUNT(*) FILTER (y_now = 1 AND y = 0) AS decay_n,
+ AVG(CASE WHEN y_now = y THEN 1.0 ELSE 0.0 END) FILTER (y_now IS NOT NULL) AS acc,
+ COALESCE(2.0 * COUNT(*) FILTER (y_now = 1 AND y = 1) / NULLIF(2 * COUNT(*)
+ FILTER (y_now = 1 AND y = 1) + COUNT(*) FILTER (y_now <> y), 0), 0) AS f1 FROM t),
+ g AS (SELECT tier, COUNT(*) AS n, AVG(y) AS rate FROM t WHERE tier IS NOT NULL GROUP BY 1)"""
+
+
+@query("training_report_facts", with_cte(REPORT) + f"""SELECT train, val, test, n_countries,
+ 2 AS n_features, onset_n, decay_n, {r('acc', 'persistence_acc')}, {r('f1', 'persistence_f1')},
+ {r('rate', 'base_rate')}, tier, n AS tier_rows, TRUE AS measured
+ FROM sized CROSS JOIN d CROSS JOIN g""")
+def training_report_facts(spark, sf):
+    """What of the nested report does not hang on the models: one row per tier."""
+    x = training_report(spark, sf).select("*", F.explode("diagnostics.by_group").alias("g"))
+    d = F.col("diagnostics")
+    known = [F.col(f"test.{m}.{k}").isNotNull() for m in training.MODELS
+             for k in ("f1", "precision", "recall", "brier", "threshold")]
+    same = (F.col("final_test.n") == F.col("split_counts.test")) & (F.col("threshold").between(0, 1))
+    for k in known:
+        same = same & k
+    return rounded(x.select(
+        "split_counts.*", "n_countries", "n_features", d["onset_n"].alias("onset_n"),
+        d["decay_n"].alias("decay_n"), d["persistence_acc"].alias("persistence_acc"),
+        d["persistence_f1"].alias("persistence_f1"), F.col("g.base_rate").alias("base_rate"),
+        F.col("g.group").alias("tier"), F.col("g.n").alias("tier_rows"), same.alias("measured")))
+
+
+FOLDS = FLAT + """, i AS (SELECT *, row_number() OVER (ORDER BY week_end, country_std) - 1 AS i,
+ COUNT(*) OVER () AS n FROM flat), b AS (SELECT *, least(4, i // (n // 4)) AS block FROM i)"""
+
+
+@query("fold_training", with_cte(FOLDS) + """SELECT CAST(f.fold AS INTEGER) AS fold,
+ COUNT(*) AS n, COUNT(*) AS scored, TRUE AS measured FROM b JOIN range(1, 4) f(fold)
+ ON b.block = f.fold WHERE (SELECT COUNT(DISTINCT x.Y) FROM b x WHERE x.block < f.fold) > 1
+ GROUP BY 1""")
+def fold_training(spark, sf):
+    """Expanding folds, each trained and scored: rows of a fold, scores and metrics in range."""
+    t = training.window_table(labelled_weeks(spark, sf), FEATURES)
+    rows, each = training.cross_validate(pin(t), FEATURES, iterations=15,
+                                         context=_context(spark, sf))
+    inside = F.col("p_ensemble").between(0, 1) & F.col("p_trees").between(0, 1)
+    good = F.col("auc").between(0, 1) & F.col("brier").between(0, 1) & (F.col("f1") >= 0)
+    scored = rows.groupBy("fold").agg(F.count_if(inside).alias("scored"))
+    return each.join(scored, "fold").select("fold", "n", "scored", good.alias("measured"))
 
 
 @query("saved_model_scoring")
@@ -222,7 +282,7 @@ def saved_model_facts(spark, sf):
     again, _, _ = training.evaluate_saved(spark, folder, t, "test")
     both = again.select("country_std", "week_end", F.col("p_conflict").alias("again")) \
         .join(scored, ["country_std", "week_end"])
-    auc = report.select("auc").scalar()
+    auc = report.select("final_test.auc").scalar()
     return both.agg(F.count(F.lit(1)).alias("rows"),
                     F.count_if(F.abs(F.col("again") - F.col("p_conflict")) < 1e-9)
                     .alias("equal_scores")).select("rows", "equal_scores",

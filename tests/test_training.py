@@ -40,7 +40,7 @@ def test_split_fallback_without_test_rows(table):
 
 
 def test_auc_floor(trained):
-    assert trained[2].auc > 0.9 and trained[2].final_model in ("trees", "sequence", "ensemble")
+    assert trained[2].final_test.auc > 0.9 and trained[2].final_model in ("trees", "sequence", "ensemble")
 
 
 def test_saved_scores_equal_trained_scores(spark, trained, table):
@@ -100,3 +100,61 @@ def test_standardised_steps(spark):
     assert s["mean"] == [2.0, 2.0] and abs(s["sigma"][0] - 1.0) < 1e-6
     z = models.standardise(df, s["mean"], s["sigma"]).first()["Z"]
     assert [round(v, 4) for v in z] == [-1.0, 0.0, 1.0, 0.0]
+
+
+@pytest.fixture(scope="module")
+def context(spark, table):
+    """States at the windows' ends, as if nothing changed in 13 weeks; tiers but for one entity."""
+    return table.select("country_std", F.col("week_end").alias("week_id"), (1 - F.col("Y")).alias("Y"),
+                        F.when(F.col("country_std") != "e3", F.when(
+                            F.col("country_std") < "e2", "A").otherwise("B")).alias("group"))
+
+
+def test_nested_report(spark, table, context, trained):
+    scored, report = training.train(table, ["f"], iterations=5, context=context)
+    r, rows = report.first(), scored.filter("is_test").collect()
+    assert (r.split_counts.test, r.n_features, r.features) == (len(rows), 1, ["f"])
+    assert r.n_countries == 12 and r.model_artifacts is None
+    d = r.diagnostics
+    assert d.persistence_acc == 0.0 and d.persistence_auc == 0.0  # the state is always the contrary
+    assert d.onset_n == sum(x.Y for x in rows) and d.decay_n == len(rows) - d.onset_n
+    hit = sum(x.Y == 1 and x.pred == 1 for x in rows)
+    assert d.onset_recall == pytest.approx(hit / d.onset_n)
+    assert d.lift_auc == pytest.approx(d.model_auc_valid)
+    assert {(g.group, g.n) for g in d.by_group} == {
+        (t, sum(x.group == t for x in rows)) for t in "AB"}
+    best = r.test[r.final_model]
+    assert best == r.final_test and best.threshold == r.threshold
+    without = trained[2].diagnostics
+    assert (without.onset_n, without.persistence_auc, without.by_group) == (0, None, [])
+
+
+def test_stored_vocabulary(spark, trained, table):
+    rows, _, _ = training.evaluate_saved(
+        spark, trained[0], table.unionByName(table.filter("country_std = 'e1'").withColumn(
+            "country_std", F.lit("new"))), "val")
+    ids = {r.country_std: r.country_id for r in rows.collect()}
+    meta = models.load(spark, trained[0])[2]
+    assert ids.pop("new") is None
+    assert ids == {c: i for i, c in enumerate(meta["countries"])} and len(ids) == 12
+
+
+def test_folds_train_on_earlier_blocks(spark, table, context):
+    rows, each = training.cross_validate(table, ["f"], iterations=4, context=context)
+    got = {r.fold: r for r in each.collect()}
+    n = table.count()
+    assert set(got) == {1, 2, 3} and {r.n for r in got.values()} == {n // 4}
+    assert all(r.auc > 0.8 and 0 < r.f1 <= 1 and 0 <= r.brier < 0.3 for r in got.values())
+    firsts = {r.fold: r.first for r in rows.groupBy("fold").agg(
+        F.min("week_end").alias("first")).collect()}
+    assert firsts[1] < firsts[2] < firsts[3]
+    one = rows.filter("fold = 2 AND group = 'A'").first()
+    assert one.p_ensemble == pytest.approx(0.6 * one.p_trees + 0.4 * one.p_sequence)
+
+
+def test_folds_with_one_class(spark, table):
+    early = table.withColumn("Y", F.when(F.col("week_end") < "2021-20", 0).otherwise(F.col("Y")))
+    with pytest.raises(ValueError, match="both classes"):
+        training.cross_validate(table.withColumn("Y", F.lit(0).cast("long")), ["f"])
+    _, each = training.cross_validate(early, ["f"], iterations=3)
+    assert 1 <= each.count() < 3
