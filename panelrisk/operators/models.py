@@ -3,8 +3,10 @@
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+                                       MultilayerPerceptronClassifier)
+from pyspark.ml.feature import (FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 from panelrisk.fixed_values import EPS, FINAL_MODELS, FINAL_REASONS, TIER_ALPHA
 from panelrisk.functions.scalars import target_week
 from panelrisk.operators import sequences
+from panelrisk.operators.ordered import cuts_below
 from panelrisk.sources.files import missing_columns, write_report
 
 SEED = 42
+#: Buckets that entity names are hashed into for the perceptron.
+HASHED_ENTITIES = 16
 
 
 def standardiser(df: DataFrame, array_column="X", n_features=None) -> DataFrame:
@@ -112,6 +117,44 @@ def fit_linear(df: DataFrame, label="Y", steps="Z", entity="country_std",
                            rawPredictionCol="_raw", predictionCol="_pred")]).fit(df)
 
 
+def balanced(df: DataFrame, label="Y", keys=("country_std", "week_end")) -> DataFrame:
+    """Rows of the rarer class repeated until both classes have the same number of rows.
+
+    For learners without weights. Every row is repeated equally often, and those whose hash ranks
+    first once more, so the result is exact and the same on every run. ``keys`` identify a row.
+    """
+    n = df.agg(F.count_if(F.col(label) == 1).alias("one"),
+               F.count_if(F.col(label) == 0).alias("zero")).first()
+    few, many = sorted((n.one, n.zero))
+    if not few or few == many:
+        return df
+    rare = F.col(label) == (1 if n.one == few else 0)
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    behind, _ = cuts_below(hashed.filter(rare), ["_hash", *keys],
+                           lambda i, total: i == F.lit(many % few))
+    # before the cut once more; the cut stands at the first row if nothing is left over
+    copies = F.when(rare, F.lit(many // few) + F.when(behind == 0, 1).otherwise(0)).otherwise(1)
+    return hashed.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))) \
+        .drop("_hash", "_copy")
+
+
+def fit_perceptron(df: DataFrame, label="Y", steps="Z", entity="country_std", hidden=(32, 16),
+                   iterations=100) -> PipelineModel:
+    """Multilayer perceptron on the standardised ordered window and a hashed entity.
+
+    Classes are evened out by repeating rows of the rarer one, as the learner takes no weights.
+    """
+    df = balanced(df, label).withColumn("_seq", array_to_vector(F.col(steps)))
+    width = df.select(F.size(steps).alias("n")).first().n
+    return Pipeline(stages=[
+        FeatureHasher(inputCols=[entity], outputCol="_who", numFeatures=HASHED_ENTITIES),
+        VectorAssembler(inputCols=["_seq", "_who"], outputCol="_in"),
+        MultilayerPerceptronClassifier(
+            featuresCol="_in", labelCol=label, layers=[width + HASHED_ENTITIES, *hidden, 2],
+            maxIter=iterations, seed=SEED, probabilityCol="_prob", rawPredictionCol="_raw",
+            predictionCol="_pred")]).fit(df)
+
+
 def score(model: PipelineModel, df: DataFrame, out, steps=None) -> DataFrame:
     """Append the probability of the positive class."""
     if steps:

@@ -26,15 +26,22 @@ def flat_names(columns):
     return [f"{c}__{s}" for c in columns for s in ("last", "mean", "trend")]
 
 
-def _fit(table: DataFrame, columns, iterations):
-    """Both learners on the training rows, and the standardiser; the table has the split flags."""
+def _fit(table: DataFrame, columns, iterations, sequence="linear"):
+    """Both learners on the training rows, and the standardiser; the table has the split flags.
+
+    ``sequence`` is the learner of the ordered window: linear or perceptron.
+    """
     flat = flat_names(columns)
     rows = models.class_weights(table.filter("is_train or is_val"), counted="is_train")
     trees = models.fit_trees(rows, flat, validation="is_val", iterations=iterations)
     stats = models.standardiser(table.filter("is_train"), "X", len(columns)).first()
     ready = models.standardise(table, stats["mean"], stats["sigma"])
-    linear = models.fit_linear(models.class_weights(ready.filter("is_train")))
-    return trees, linear, stats
+    own = ready.filter("is_train")
+    if sequence == "perceptron":
+        return trees, models.fit_perceptron(own), stats
+    if sequence != "linear":
+        raise ValueError(f"unknown sequence learner {sequence!r}")
+    return trees, models.fit_linear(models.class_weights(own)), stats
 
 
 def _score(table, trees, linear, stats) -> DataFrame:
@@ -60,7 +67,8 @@ def _by_part(rows):
     return {r["part"]: r for r in rows}
 
 
-def train(table: DataFrame, columns, folder=None, iterations=300, context=None):
+def train(table: DataFrame, columns, folder=None, iterations=300, context=None,
+          sequence="linear"):
     """Fit both learners, search the blend, pick threshold and final model.
 
     Returns (scored rows, report). The report is one nested row: blend weight, thresholds and
@@ -74,7 +82,7 @@ def train(table: DataFrame, columns, folder=None, iterations=300, context=None):
     if table.filter("Y < 0").limit(1).count():
         raise ValueError("unlabelled windows cannot be trained on")
     table = pin(sequences.resolve_splits(table))
-    trees, linear, stats = _fit(table, columns, iterations)
+    trees, linear, stats = _fit(table, columns, iterations, sequence)
     scored = pin(_with_context(_score(table, trees, linear, stats), context))
 
     best = metrics.blend_search(scored.filter("is_val"), "Y", "p_trees", "p_sequence").first()
@@ -173,7 +181,7 @@ def _report(scored, choice, val_auc, cuts, ranked, columns, folder) -> DataFrame
 
 
 def cross_validate(table: DataFrame, columns, parts=4, order=("week_end", "country_std"),
-                   iterations=80, context=None):
+                   iterations=80, context=None, sequence="linear"):
     """Expanding folds in time order: train on the blocks before, score the next one.
 
     Returns (out-of-fold rows, metrics). Folds are fitted side by side over one written
@@ -193,7 +201,7 @@ def cross_validate(table: DataFrame, columns, parts=4, order=("week_end", "count
     def one(fold):
         own, late = sequences.expanding_fold(table, fold)
         flags = {"is_train": F.lit(True), "is_val": F.lit(False)}
-        trees, linear, stats = _fit(own.withColumns(flags), columns, iterations)
+        trees, linear, stats = _fit(own.withColumns(flags), columns, iterations, sequence)
         return pin(_score(late, trees, linear, stats).withColumn("fold", F.lit(fold)))
 
     if not folds:

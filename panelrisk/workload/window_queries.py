@@ -179,6 +179,23 @@ def window_classifier(spark, sf):
                                                                   "p_sequence")
 
 
+@query("perceptron_facts", with_cte(SPLIT) + """, n AS (SELECT COUNT(*) FILTER (Y = 1) AS one,
+ COUNT(*) FILTER (Y = 0) AS zero FROM sp WHERE split = 'train') SELECT COUNT(*) AS rows,
+ COUNT(*) AS scores_in_range, (SELECT CASE WHEN least(one, zero) = 0 THEN greatest(one, zero)
+ ELSE 2 * greatest(one, zero) END FROM n) AS balanced_rows FROM sp""")
+def perceptron_facts(spark, sf):
+    """The non-linear window learner scores every window; its classes were evened out exactly."""
+    t = _table(spark, sf)
+    own = t.filter("split = 'train'")
+    s = models.standardiser(own, "X", 2).first()
+    ready = models.standardise(t, s["mean"], s["sigma"])
+    m = models.fit_perceptron(ready.filter("split = 'train'"), iterations=30)
+    even = models.balanced(own).agg(F.count(F.lit(1))).first()[0]
+    return models.score(m, ready, "p", steps="Z").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p").between(0, 1))
+        .alias("scores_in_range"), F.lit(even).cast("long").alias("balanced_rows"))
+
+
 @query("trained_ensemble")
 def trained_ensemble(spark, sf):
     scored, _ = training.train(_table(spark, sf), FEATURES)

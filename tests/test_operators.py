@@ -279,3 +279,18 @@ def test_week_monday(spark):
     df = spark.createDataFrame([("2021-01",), ("2020-53",)], "w string")
     assert [r[0] for r in df.select(fn.week_monday("w")).collect()] == [dt.date(2021, 1, 4),
                                                                        dt.date(2020, 12, 28)]
+
+
+def test_calendar_refuses_moments(spark):
+    df = spark.sql("SELECT 'a' AS country_std, 'A' AS `group`, current_timestamp() AS ts")
+    with pytest.raises(ValueError, match="ts"):
+        panel.dense_grid(df, period=["ts"], order=["ts"])
+
+
+def test_first_code_system_counts(spark):
+    own = spark.createDataFrame([("SYR", "Elsewhere", "C"), (" q1", "Norway", None),
+                                 ("q2", "Nowhere", None), (None, "x", "A")],
+                                "code string, canonical string, tier string")
+    got = {r.code: (r.canonical, r.tier) for r in entities.code_systems(spark, own).collect()}
+    assert got["SYR"] == ("Syria", "A") and got["WSB"] == ("West Bank", "OTHER")
+    assert got["q1"] == ("Norway", "C") and got["q2"] == ("Nowhere", "OTHER") and None not in got

@@ -158,3 +158,43 @@ def test_folds_with_one_class(spark, table):
         training.cross_validate(table.withColumn("Y", F.lit(0).cast("long")), ["f"])
     _, each = training.cross_validate(early, ["f"], iterations=3)
     assert 1 <= each.count() < 3
+
+
+def test_balanced_classes(spark):
+    for one, zero in ((3, 10), (10, 3), (4, 8), (5, 5), (0, 4)):
+        df = spark.createDataFrame([(f"e{i % 4}", f"w{i}", int(i < one)) for i in range(one + zero)],
+                                   "country_std string, week_end string, Y int")
+        got = models.balanced(df).groupBy("week_end", "Y").count().collect()
+        sizes = {y: sum(r["count"] for r in got if r.Y == y) for y in (0, 1)}
+        assert sizes == ({1: max(one, zero), 0: max(one, zero)} if one and zero
+                         else {1: one, 0: zero})
+        assert len(got) == one + zero
+        for y in (0, 1):
+            each = [r["count"] for r in got if r.Y == y]
+            assert not each or max(each) - min(each) <= 1
+
+
+def test_perceptron_beats_the_linear_learner_on_a_curved_edge(spark):
+    from panelrisk.operators import metrics
+
+    x, y = (F.sin(F.col("id") * k) * 2 for k in (1.7, 0.37))
+    df = spark.range(600).select(
+        F.lit("e").alias("country_std"), F.concat(F.lit("w"), "id").alias("week_end"),
+        F.array(x, y).alias("Z"), (x * y > 0).cast("int").alias("Y"),
+        (F.col("id") % 3 == 0).alias("held"))
+    own = df.filter("not held")
+    nets = {"linear": models.fit_linear(models.class_weights(own)), "net": models.fit_perceptron(own)}
+    auc = {k: metrics.auc_ap(metrics.ranking_curve(models.score(
+        m, df.filter("held"), "p", steps="Z"), "Y", "p")).first().auc for k, m in nets.items()}
+    assert auc["linear"] < 0.65 and auc["net"] > 0.9
+
+
+def test_perceptron_in_the_ensemble_is_stored(spark, table):
+    folder = scratch(spark, "net")
+    scored, report = training.train(table, ["f"], folder, iterations=3, sequence="perceptron")
+    again, _, _ = training.evaluate_saved(spark, folder, table, "val")
+    a = {(r.country_std, r.week_end): r.p_sequence for r in
+         scored.filter("split = 'val'").collect()}
+    b = {(r.country_std, r.week_end): r.p_sequence for r in again.collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert report.first().test.sequence.auc > 0.9
