@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from panelrisk.llm import token_align, turn_repair, url_rules
+from panelrisk.llm import token_align, toxicity, turn_repair, url_rules
 from panelrisk.llm.workload import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -377,3 +378,67 @@ def test_full_cache_gives_the_same_ids(monkeypatch):
     small = token_align.Aligner(A_PATH, B_PATH)
     assert [small.ids(b) for b in batches] == whole
     assert small.bytes <= 30_000
+
+
+# --- 4 toxicity: the query against plain Python -----------------------------------------------
+
+def features_of(text):
+    found = set()
+    for word in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+        found |= set(toxicity.word_features(word))
+    return found
+
+
+def auc_of(pairs):
+    ones, zeros = ([s for s, y in pairs if y == k] for k in (1, 0))
+    wins = sum((a > b) + (a == b) / 2 for a in ones for b in zeros)
+    return wins / (len(ones) * len(zeros))
+
+
+def test_toxicity_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+
+    # the features that the fit sees, chosen anew from the rows that may be learned from
+    own = {i: y for i, y in toxic.items() if y in (0, 1) and not held[i]}
+    n = collections.Counter(own.values())
+    seen = {c: collections.Counter() for c in (0, 1)}
+    for i, y in own.items():
+        seen[y].update(features_of(docs[i]))
+    strength = {}
+    for f in seen[0].keys() | seen[1].keys():
+        t, c = seen[1][f], seen[0][f]
+        both = (t + c) / (n[0] + n[1])
+        z = abs(t / n[1] - c / n[0]) / (both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12) ** 0.5
+        if t + c >= toxicity.MIN_DOCS and z >= toxicity.MIN_Z:
+            strength[f] = z
+    weights, intercept = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"),
+                                        spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(weights) == set(sorted(strength, key=lambda f: (-strength[f], f))
+                               [:toxicity.MAX_FEATURES])
+
+    got = QUERIES["op4_toxicity"](spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        total = intercept + sum(weights.get(f, 0.0) for f in features_of(docs[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+        assert r.held_out == held[r.doc_id] and r.predicted == (r.score >= 0.3)
+
+
+def test_toxicity_on_held_out_rows_of_the_larger_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    late = [(r.score, toxic[r.doc_id]) for r in QUERIES["op4_toxicity"](spark, sf).collect()
+            if r.held_out and toxic.get(r.doc_id) in (0, 1)]
+    assert auc_of(late) > 0.95
+
+
+def test_toxicity_takes_long_texts_whole(spark):
+    rows = [(i, "calm words " * 9 + ("vilest" if i % 3 == 0 else "")) for i in range(300)]
+    long = [(1_000, "calm words " * 60_000 + "vilest"), (1_001, "calm words " * 60_000)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(
+        spark.createDataFrame(rows + long, "doc_id long, text string"), labels).collect()}
+    assert got[1_000] == got[0] and got[1_001] == got[1] and got[0] > got[1]
