@@ -5,15 +5,16 @@ the word mark after another character (checked when the model is loaded), and
 its normaliser acts on single characters. A text is therefore the sum of its
 words, where a word is a run of spaces with the non-spaces behind it.
 
-Tier one is a compact table of frequent words and their lengths, gathered from a
-bounded sample of the corpus and broadcast (at most ``table_size`` entries). Tier
-two is a cache in each Python worker that is filled as words are met. Neither
-decides a result: a word that is in no tier is encoded by the library. Words are
-never shuffled.
+Tier one is a compact table of frequent words and their lengths, broadcast. It comes from
+all whole texts: each task keeps a bounded heavy-hitter summary (Misra-Gries), and these
+summaries are merged. Tier two is a cache in each Python worker that is filled as words
+are met. Neither decides a result: a word that is in no tier is encoded by the library. Words
+of texts are never shuffled; only the summaries are.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from panelrisk.llm.tables import texts
 
-#: Bounds of tier one: words in the broadcast table, documents and characters looked at for it.
+#: Words in the broadcast table, and counters in a task's summary. A word that makes up more than
+#: one part in SUMMARY_SIZE of a task's words is always in its summary.
 TABLE_SIZE = 50_000
-SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 4_000
+SUMMARY_SIZE = 50_000
 #: Words in a worker's cache before it starts anew, and the longest word kept in it.
 CACHE_SIZE = 400_000
 CACHED_CHARS = 64
@@ -55,17 +56,33 @@ def _model(path):
     return _models[path]
 
 
-def frequent_words(docs: DataFrame, size=TABLE_SIZE, rows=SAMPLE_ROWS, chars=SAMPLE_CHARS):
-    """The most frequent words in a bounded sample, for the broadcast table.
+def thinned(counts: Counter, size: int) -> Counter:
+    """At most ``size`` counters: all lowered by the count that comes after those, as Misra-Gries."""
+    if len(counts) <= size:
+        return counts
+    floor = heapq.nlargest(size + 1, counts.values())[-1]
+    return Counter({w: n - floor for w, n in counts.items() if n > floor})
 
-    The sample only decides which words are fast. It is read from the front of
-    whatever splits Spark opens first, so its cost does not grow with the corpus.
-    """
-    sample = texts(docs).select(F.substring("text", 1, chars).alias("text")).limit(rows)
-    seen = Counter()
-    for row in sample.collect():
-        seen.update(row.text.split(" "))
-    return [w for w, _ in seen.most_common(size) if w and MARK not in w and len(w) <= CACHED_CHARS]
+
+def frequent_words(docs: DataFrame, size=TABLE_SIZE, summary=SUMMARY_SIZE):
+    """The most frequent words of all texts, for the broadcast table; at most ``size``."""
+
+    def summarise(batches):
+        seen = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update(text.as_py().split(" "))
+                if len(seen) > 4 * summary:
+                    seen = thinned(seen, summary)
+        kept = [(w, n) for w, n in thinned(seen, summary).items()
+                if w and len(w) <= CACHED_CHARS and MARK not in w]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*kept), (pa.string(), pa.int64()))], ["word", "n"])
+
+    merged = texts(docs).select("text").mapInArrow(summarise, "word string, n long") \
+        .groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in merged.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 class _Counter:
@@ -116,7 +133,7 @@ class _Counter:
         return out
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, **sample) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, **tier) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     A NULL text is the empty text with 0 tokens. Every row of the table gives a
@@ -125,7 +142,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, **sample)
     the library has it. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    words = frequent_words(docs, **sample)
+    words = frequent_words(docs, **tier)
     lengths = [len(ids) for ids in _model(model_path).encode(words, num_threads=1)]
     table = spark.sparkContext.broadcast(dict(zip(words, lengths)))
 

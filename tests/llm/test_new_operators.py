@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from panelrisk.llm import token_align, toxicity, turn_repair, url_rules
+from panelrisk.llm import token_align, token_counts, toxicity, turn_repair, url_rules
 from panelrisk.llm.workload import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -380,6 +380,20 @@ def test_full_cache_gives_the_same_ids(monkeypatch):
     assert small.bytes <= 30_000
 
 
+# --- 3 token counts: the broadcast tier ---------------------------------------------------------
+
+def test_frequent_words_come_from_whole_texts(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"rare{i}x{k}" for k in range(40)], k=30)
+                         + ["often"] * 6 + ["second"] * 3)) for i in range(300)]
+    rows += [(400, None), (401, ""), (402, " "), (403, "▁mark " * 5_000), (404, "y" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert token_counts.frequent_words(docs, size=2, summary=20) == ["often", "second"]
+    assert token_counts.frequent_words(spark.createDataFrame([], docs.schema)) == []
+    words = token_counts.thinned(collections.Counter("aaabbc"), 2)
+    assert words == {"a": 2, "b": 1} and token_counts.thinned(words, 2) is words
+
+
 # --- 4 toxicity: the query against plain Python -----------------------------------------------
 
 def features_of(text):

@@ -189,7 +189,7 @@ def test_token_counts(spark, sf, texts):
 
 def test_token_counts_do_not_depend_on_the_tables(spark, texts):
     path, df = P.path("piece_bpe_32k.model"), frame(spark, texts[:50])
-    assert sorted(token_counts.count_tokens(df, path, size=1, rows=1).collect()) \
+    assert sorted(token_counts.count_tokens(df, path, size=1, summary=1).collect()) \
         == sorted(token_counts.count_tokens(df, path).collect())
 
 
