@@ -350,13 +350,13 @@ def _loses(a: _Run, b: _Run) -> bool:
         return False
     if a.shared != b.shared:
         return a.shared < b.shared
-    x, y, i = a.text, b.text, a.shared
+    x, y = a.text[a.shared:], b.text[a.shared:]
     if x == y:
-        (b if a.at <= b.at else a).shared = len(x)
+        (b if a.at <= b.at else a).shared = len(a.text)
         return a.at > b.at
-    d = int.from_bytes(x[i:], "big") ^ int.from_bytes(y[i:], "big")
-    same = len(x) - (d.bit_length() + 7) // 8
-    behind = x[same] > y[same]
+    d = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
+    differ = len(x) - (d.bit_length() + 7) // 8
+    behind, same = x[differ] > y[differ], a.shared + differ
     (a if behind else b).shared = same
     return behind
 
