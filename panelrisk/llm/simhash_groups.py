@@ -152,8 +152,10 @@ def near_links(distinct: DataFrame, k: int = 4, hot_key: int = 4096) -> DataFram
     """(fp, to): links whose connected components are those of all pairs within k bits.
 
     ``distinct`` holds distinct fingerprints in ``fp`` and should be written (it is
-    read three times).
+    read three times). ``k`` must be even, as large keys are linked through both halves of it.
     """
+    if k % 2:
+        raise ValueError(f"an even number of bits is needed, not {k}")
     spark = distinct.sparkSession
     masks = _block_masks(choose_blocks(distinct.count(), k))
     choices = [sum(masks[i] for i in c) for c in combinations(range(len(masks)), len(masks) - k)]
@@ -209,10 +211,7 @@ def near_links(distinct: DataFrame, k: int = 4, hot_key: int = 4096) -> DataFram
     hot = shared.filter(F.col("n") > hot_key)
     if hot.isEmpty():
         return small
-    # within k bits of each other: one end reaches k/2 bits, the other the rest; with an odd
-    # k the larger reach alone would link too much, so only values of even k are spread
-    if reach != far:
-        raise ValueError("keys beyond hot_key need an even number of bits")
+    # within k bits of each other: both ends reach k/2 bits, as k is even
     mids = hot.mapInArrow(spread, "t int, mid long, fp long")
     least = mids.groupBy("t", "mid").agg(F.min("fp").alias("to"), F.max("fp").alias("most")) \
         .filter(F.col("to") < F.col("most")).select("t", "mid", "to")

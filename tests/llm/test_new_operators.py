@@ -12,7 +12,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from panelrisk.llm import token_align, token_counts, toxicity, turn_repair, url_rules
+from panelrisk.llm import (simhash_groups, token_align, token_counts, toxicity, turn_repair,
+                           url_rules)
 from panelrisk.llm.workload import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -456,3 +457,9 @@ def test_toxicity_takes_long_texts_whole(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(
         spark.createDataFrame(rows + long, "doc_id long, text string"), labels).collect()}
     assert got[1_000] == got[0] and got[1_001] == got[1] and got[0] > got[1]
+
+
+def test_odd_numbers_of_bits_are_refused_at_every_size(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash_groups.simhash_groups(spark.createDataFrame([(1, "a b")], "doc_id long, text string"),
+                                      k=3)
