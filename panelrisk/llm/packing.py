@@ -27,6 +27,8 @@ from panelrisk.session import pin
 
 #: Text bytes encoded at a time.
 BATCH_BYTES = 1 << 20
+#: Bytes of cached words in a worker.
+CACHE_BYTES = 192 << 20
 _caches: dict = {}
 
 
@@ -42,7 +44,8 @@ def _cache(path: str) -> WordCache:
             found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in found]
 
-        _caches[path] = WordCache(encode, lambda text: any(s in text for s in special))
+        _caches[path] = WordCache(encode, lambda text: any(s in text for s in special),
+                                  most_bytes=CACHE_BYTES)
     return _caches[path]
 
 
