@@ -258,10 +258,13 @@ FOLDS = FLAT + """, i AS (SELECT *, row_number() OVER (ORDER BY week_end, countr
  ON b.block = f.fold WHERE (SELECT COUNT(DISTINCT x.Y) FROM b x WHERE x.block < f.fold) > 1
  GROUP BY 1""")
 def fold_training(spark, sf):
-    """Expanding folds, each trained and scored: rows of a fold, scores and metrics in range."""
+    """Expanding folds, each trained and scored: rows of a fold, scores and metrics in range.
+
+    Folds before which all labels are alike cannot be trained and have no row; there may be none.
+    """
     t = training.window_table(labelled_weeks(spark, sf), FEATURES)
     rows, each = training.cross_validate(pin(t), FEATURES, iterations=15,
-                                         context=_context(spark, sf))
+                                         context=_context(spark, sf), strict=False)
     inside = F.col("p_ensemble").between(0, 1) & F.col("p_trees").between(0, 1)
     good = F.col("auc").between(0, 1) & F.col("brier").between(0, 1) & (F.col("f1") >= 0)
     scored = rows.groupBy("fold").agg(F.count_if(inside).alias("scored"))

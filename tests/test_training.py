@@ -160,6 +160,36 @@ def test_folds_with_one_class(spark, table):
     assert 1 <= each.count() < 3
 
 
+def test_no_fold_can_be_trained(spark, table, context):
+    alike = table.withColumn("Y", F.lit(0).cast("long"))
+    some, _ = training.cross_validate(table, ["f"], iterations=2, context=context)
+    rows, each = training.cross_validate(alike, ["f"], context=context, strict=False)
+    assert rows.count() == each.count() == 0
+    assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in some.schema]
+
+
+def test_fold_query_where_all_weeks_are_active(spark, tmp_path):
+    """Two nations with an order over the bound of activity in each of 80 weeks: no onsets."""
+    from panelrisk.workload import QUERIES
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("region", [(0, "R")], "r_regionkey int, r_name string")
+    write("nation", [(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("customer", [(0, 0, 1.0), (1, 1, 2.0)], "c_custkey long, c_nationkey int, c_acctbal double")
+    spark.range(160).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 2).alias("o_custkey"),
+        F.date_add(F.lit("1997-01-06"), (F.floor(F.col("id") / 2) * 7).cast("int"))
+        .cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"),
+        F.lit(700_000.0).alias("o_totalprice"), F.lit("F").alias("o_orderstatus")) \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    windows = QUERIES["sliding_windows"](spark, str(tmp_path))
+    assert {r.Y for r in windows.collect()} == {0} and windows.count() >= 8
+    got = QUERIES["fold_training"](spark, str(tmp_path))
+    assert got.collect() == [] and got.columns == ["fold", "n", "scored", "measured"]
+
+
 def test_balanced_classes(spark):
     for one, zero in ((3, 10), (10, 3), (4, 8), (5, 5), (0, 4)):
         df = spark.createDataFrame([(f"e{i % 4}", f"w{i}", int(i < one)) for i in range(one + zero)],
