@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from array import array
 
 import numpy as np
@@ -22,15 +23,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrisk.llm.tables import slices, texts
-from panelrisk.llm.word_cache import WordCache
+from panelrisk.llm.word_cache import ENTRY_BYTES, WordCache
 from panelrisk.session import pin
 
-#: Text bytes encoded at a time.
-BATCH_BYTES = 1 << 20
+#: Text bytes whose words are looked up at a time, and about the bytes of unknown words or
+#: of texts without plain words that the tokenizer takes at a time.
+BATCH_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 20
 #: Bytes of cached words in a worker.
 CACHE_BYTES = 192 << 20
 _caches: dict = {}
 
+#: A word of letters, led by a space or not; beyond Latin letters Unicode versions differ.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The characters that byte-level tokenizers show bytes as, by byte.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _byte_level(tokenizer) -> bool:
+    """Whether the tokenizer cuts texts by the byte-level pattern only."""
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = tokenizer.pre_tokenizer
+    return tokenizer.normalizer is None and isinstance(tokenizer.model, BPE) \
+        and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+
+
+def encoder(tokenizer):
+    """``encode(strings)``: the ids of each as bytes, little-endian unsigned 32-bit.
+
+    A string that is one word of letters is never cut by the byte-level pattern, so it goes to
+    the tokenizer's model at once, in the characters that stand for its bytes.
+    """
+    tokens = tokenizer.model.tokenize
+    word = _WORD.fullmatch if _byte_level(tokenizer) else lambda text: None
+
+    def encode(strings):
+        out, others = [], []
+        for at, text in enumerate(strings):
+            if word(text):
+                shown = text.replace(" ", "Ġ") if text.isascii() else \
+                    text.encode().decode("latin-1").translate(_SHOWN)
+                out.append(array("I", [t.id for t in tokens(shown)]).tobytes())
+            else:
+                others.append(at)
+                out.append(b"")
+        for a, b in slices([ENTRY_BYTES + len(strings[i]) for i in others], ENCODED_BYTES):
+            found = tokenizer.encode_batch_fast([strings[i] for i in others[a:b]],
+                                                add_special_tokens=False)
+            for i, e in zip(others[a:b], found):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+    return encode
+
 
 def _cache(path: str) -> WordCache:
     if path not in _caches:
@@ -39,12 +87,8 @@ def _cache(path: str) -> WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-        def encode(strings):
-            found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-            return [array("I", e.ids).tobytes() for e in found]
-
-        _caches[path] = WordCache(encode, lambda text: any(s in text for s in special),
+        _caches[path] = WordCache(encoder(tokenizer),
+                                  lambda text: any(s in text for s in special),
                                   most_bytes=CACHE_BYTES)
     return _caches[path]
 

@@ -511,6 +511,49 @@ def test_packing(spark, texts):
     assert len(slots) <= -(-total // 1024) * 1.05 + 1
 
 
+def test_words_of_letters_skip_the_cutting_of_texts():
+    """The model's ids of a word are the tokenizer's; only other words go the long way."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    taken = []
+
+    class Watched:
+        model, normalizer, pre_tokenizer = tokenizer.model, None, tokenizer.pre_tokenizer
+
+        def encode_batch_fast(self, strings, add_special_tokens):
+            taken.extend(strings)
+            return tokenizer.encode_batch_fast(strings, add_special_tokens=add_special_tokens)
+
+    rnd = random.Random(9)
+    letters = ["the", "ing", "er", "A", "é", "ÿ", "ß", "Ł", "ɏ", "×", "÷", "ɐ", "ж", "字", "ª", "1", "'s", "e\u0301"]
+    words = [rnd.choice(["", " "]) + "".join(rnd.choices(letters, k=rnd.randint(1, 5)))
+             for _ in range(3000)] + [" ", "  a", "", "<|endoftext|>", "a b", " x" * 9]
+    got = packing.encoder(Watched())(words)
+    for w, ids in zip(words, got):
+        assert ids == struct.pack(f"<{len(ids) // 4}I", *tokenizer.encode(w, add_special_tokens=False).ids)
+    latin = set("aeghinrtAéÿßŁɏ")
+    assert not [w for w in taken if w.strip() and set(w.removeprefix(" ")) <= latin]
+    assert {w for w in words if set("×÷ɐж字ª1'\u0301") & set(w)} <= set(taken)
+
+
+def test_signs_behind_a_word_are_cut_off():
+    from tokenizers import Tokenizer
+
+    from panelrisk.llm.word_cache import WordCache
+
+    tokenizer, asked = Tokenizer.from_file(P.path("byte_bpe_50k.json")), []
+    encode = packing.encoder(tokenizer)
+    cache = WordCache(lambda many: asked.extend(many) or encode(many))
+    rnd = random.Random(5)
+    texts = [rnd.choice([" ", "\n"]).join(
+        rnd.choice(["word", "été", "a", "x1", "ж", "", "don't", "'"]) + rnd.choice(
+            ["", ".", ",###", "&&&", "!?", "<|>", "'.", "%a"]) for _ in range(6)) for _ in range(800)]
+    for text, ids in zip(texts, cache.ids(texts)):
+        assert ids == struct.pack(f"<{len(ids) // 4}I", *tokenizer.encode(text, add_special_tokens=False).ids)
+    assert {" word", "&&&", ",###"} <= set(asked) and not {" word&&&", " word,###"} & set(asked)
+
+
 def test_packing_edges(spark):
     path = P.path("byte_bpe_50k.json")
     assert packing.packed_digest(frame(spark, []), path).count() == 0
